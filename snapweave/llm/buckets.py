@@ -1,0 +1,94 @@
+"""Which pairs of bucket mates still have to be compared, without emitting all pairs of a bucket.
+
+Rows (key, id, label, sketch, tried): rows of one key are bucket mates; label is the component that id
+already belongs to. Mates of one component need no comparison. Of the others every row proposes, per
+round, at most `per_row` partners of other components whose sketch distance passes and that it has not
+tried; the caller verifies them, unites components and asks again until nothing is proposed. So each
+passing pair is either verified or already connected, whatever the size of the bucket. A bucket of over
+`block` rows is split into blocks by a hash of the id, and pairs of blocks are handled apart.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 1024
+
+
+def tiles(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """rows (key, id, label, sketch, tried, n) -> the same with tile (key and pair of blocks) and side."""
+    nb = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    mine = F.pmod(F.xxhash64("id"), nb.cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), nb - 1))
+    return (
+        rows.withColumn("_nb", nb).withColumn("_mine", mine).withColumn("_other", other)
+        .withColumn("tile", F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"), "_nb"))
+        .drop("_nb", "_mine", "_other", "n")
+    )
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole runs of equal (tile, key) of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = batch.column("tile").to_numpy()
+        if last is not None and tile[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        cut = int(np.searchsorted(tile != tile[-1], False)) if tile[0] == tile[-1] else int(np.nonzero(tile != tile[-1])[0][-1]) + 1
+        if cut:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+        last = tile[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def propose(rows: DataFrame, max_distance: int, per_row: int = 4) -> DataFrame:
+    """(a, b) pairs to verify; a proposed b."""
+
+    def work(batches):
+        for t in _runs(batches):
+            tile = t.column("tile").to_numpy()
+            key, ids, labels = (t.column(c).to_numpy() for c in ("key", "id", "label"))
+            words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            order = np.lexsort((ids, key, tile))
+            tile, key, ids, labels, words = tile[order], key[order], ids[order], labels[order], words[order]
+            tried = t.column("tried").to_pylist()
+            tried = [set(tried[i] or ()) for i in order]
+            edges = np.nonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (key[1:] != key[:-1]), [True]]))[0]
+            a_out, b_out = [], []
+            for s, e in zip(edges[:-1], edges[1:]):
+                if e - s < 2 or (labels[s:e] == labels[s]).all():
+                    continue
+                for i0 in range(s, e, 128):
+                    i1 = min(e, i0 + 128)
+                    d = np.zeros((i1 - i0, e - s), np.int32)
+                    for w in range(words.shape[1]):
+                        d += np.bitwise_count(words[i0:i1, None, w] ^ words[None, s:e, w])
+                    d[labels[i0:i1, None] == labels[None, s:e]] = 1 << 20
+                    for i in np.nonzero((d <= max_distance).any(axis=1))[0]:
+                        near = np.nonzero(d[i] <= max_distance)[0]
+                        near = near[np.argsort(d[i][near], kind="stable")]
+                        mine, got = tried[i0 + i], 0
+                        for j in near:
+                            if int(ids[s + j]) not in mine:
+                                a_out.append(int(ids[i0 + i]))
+                                b_out.append(int(ids[s + j]))
+                                got += 1
+                                if got == per_row:
+                                    break
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    dealt = rows.select("tile", "key", "id", "label", "sketch", "tried").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(work, "a long, b long").distinct()
