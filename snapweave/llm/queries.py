@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, near_dup
+from . import ann, decontam, near_dup, packing
 from .common import table
 
 
@@ -15,12 +15,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.self_search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op10_minhash_near_dup)}
+    return {f.__name__: f for f in (op3_pack, op4_decontaminate, op9_nearest, op10_minhash_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
