@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Every other byte as a space, so that translate and split give the same words faster.
+WORD_BYTES = bytes(b if b >= 128 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: The same class for the JVM, over text in which A-Z are already lower case.
 NOT_WORD_JAVA = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,6 +52,13 @@ def fold(text: str | bytes | None) -> bytes:
     return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower()
 
 
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """WORD.findall of the folded text."""
+    if text is None:
+        return []
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).translate(WORD_BYTES).split()
+
+
 def column_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, fold, odd_constants, slices
+from .common import bound_batches, odd_constants, slices, words_of
 
 MAX_BROADCAST_WORDS = 4_000_000
 #: Row key for merging several scans; added only when a benchmark needs more than one set.
@@ -39,7 +39,7 @@ class WindowIndex:
         self.item_ids = [str(i) for i, _ in items]
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for at, (_, text) in enumerate(items):
-            words = [vocab.setdefault(w, len(vocab)) for w in WORD.findall(fold(text))]
+            words = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
             k = min(n, len(words))
             for i in range(len(words) - k + 1 if k else 0):
                 by_length.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(at)
@@ -67,7 +67,7 @@ class WindowIndex:
         """Per text: number of words, mask of hit words, indexes of items with an occurring window."""
         get, counts, parts = self.vocab.get, [], []
         for t in texts:
-            words = WORD.findall(fold(t))
+            words = words_of(t)
             counts.append(len(words))
             parts.append(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
             parts.append(np.array([-1], np.int64))  # windows never cross texts

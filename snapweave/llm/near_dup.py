@@ -8,7 +8,7 @@ below the threshold (six standard deviations) before any full set is fetched.
 
 Documents with equal sets form a class, found by grouping on a 128-bit digest; only class
 representatives enter the bands, so thousands of copies cost one row each. Within a band bucket each
-representative is first compared with its best-estimated bucket minimum, then `buckets.propose` yields the
+representative is first compared with its best-estimated bucket minimum, then `linking.connect` asks for the
 comparisons that could still join two components, until none is left. Components are therefore those of
 the full link graph, up to the bands' miss probability ((1 - s^rows)^bands, 6e-9 at s = 0.85).
 
@@ -24,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import propose, tiles
 from .common import WordHashes, bound_batches, checkpoint, fold, mix, odd_constants, shingle_hashes, slices
-from .components import components
+from .linking import connect
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 6, 512
 #: Ids sent to every executor at most (a long each); more are joined by shuffle.
@@ -141,41 +140,17 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGL
         .select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
     )
     reps = checkpoint(reps)
-    sketches = reps.select("id", "sketch")
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).where("center < _last").drop("_last")
-    mates = checkpoint(banded.join(shared, "key"))
-
-    limit = max_sketch_distance(percent)
-    stars = mates.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").withColumn("d", _distance("x", "y")).where(F.col("d") <= limit)
-    pairs = checkpoint(stars.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s")).select("a", F.col("s.b").alias("b")))
-    edges, tried = None, None
-    while pairs.limit(1).count():
-        found = _verified(docs, pairs, percent, shingle, text_col)
-        edges = found if edges is None else checkpoint(edges.unionByName(found))
-        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
-        labels = components(edges)
-        pairs = checkpoint(_remaining(mates, labels, tried, sketches, limit))
+    keyed = reps.select("id", F.explode("bands").alias("key"))
+    labels = connect(keyed, reps.select("id", "sketch"), SKETCH_BITS // 8, max_sketch_distance(percent), lambda pairs: _verified(docs, pairs, percent, shingle, text_col))
     member = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest")
-    if edges is None:
+    if labels is None:
         out = member.withColumn("component_id", F.col("rep"))
     else:
         out = member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _distance(x: str, y: str) -> F.Column:
-    """Population count of the XOR of two binary sketches, eight bytes at a time."""
-    def word(c: str, i: int):
-        return F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
-
-    return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
-
-
-def _remaining(mates: DataFrame, labels: DataFrame, tried: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    labelled = mates.select("key", "id", "n").join(labels.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    memory = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried"))
-    rows = labelled.join(mixed, "key").join(sketches, "id").join(memory, "id", "left")
-    return propose(tiles(rows), limit)
+def drop_near_duplicates(docs: DataFrame, **kw) -> DataFrame:
+    """One row of each group stays: the one with the smallest doc_id (of rows that share it, all). Rows with a null doc_id stay. Columns unchanged."""
+    gone = near_duplicates(docs, **kw).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

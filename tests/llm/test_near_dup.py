@@ -1,6 +1,6 @@
 import random
 
-from snapweave.llm import near_dup
+from snapweave.llm import linking, near_dup
 from snapweave.llm.components import components
 
 
@@ -53,7 +53,7 @@ def test_against_brute_force(spark):
 
 
 def test_large_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "tiles", lambda rows, f=near_dup.tiles: f(rows, 4))
+    monkeypatch.setattr(linking, "tiles", lambda rows, f=linking.tiles: f(rows, 4))
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {tuple(r) for r in near_dup.near_duplicates(df, percent=85).collect()} == brute(docs, 85)
