@@ -53,7 +53,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def propose(rows: DataFrame, max_distance: int, per_row: int = 4) -> DataFrame:
+def propose(rows: DataFrame, max_distance: int, per_row: int = 32) -> DataFrame:
     """(a, b) pairs to verify; a proposed b."""
 
     def work(batches):

@@ -3,14 +3,14 @@
 A document's set: distinct hashes of its k-word shingles over `[^ \\t-\\r]+` words, A-Z lower-cased; fewer
 words are one shingle; no words or null text: an empty set, linked with nothing. Documents are linked when
 100 * |A & B| >= percent * |A | B|, decided on full sets. MinHash bands nominate; the odd sketch (parity
-bitmap of the MinHash samples; the population count of an XOR estimates the distance) rejects what is far
-below the threshold (six standard deviations) before any full set is fetched.
+bitmap of the MinHash samples; the population count of an XOR estimates the distance) rejects what is four
+standard deviations of the estimate below the threshold before any full set is fetched.
 
 Documents with equal sets form a class, found by grouping on a 128-bit digest; only class
 representatives enter the bands, so thousands of copies cost one row each. Within a band bucket each
 representative is first compared with its best-estimated bucket minimum, then `linking.connect` asks for the
 comparisons that could still join two components, until none is left. Components are therefore those of
-the full link graph, up to the bands' miss probability ((1 - s^rows)^bands, 6e-9 at s = 0.85).
+the full link graph, up to the bands' miss probability ((1 - s^rows)^bands: 9e-9 at s = 0.85) and the sketch's.
 
 Ties and repeats: rows that share a doc_id are one node. Null doc_id: such rows may lend their text to no
 one; component_id null, kept false. Empty table: empty result.
@@ -27,24 +27,33 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bound_batches, checkpoint, fold, mix, odd_constants, shingle_hashes, slices
 from .linking import connect
 
-SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 6, 512
+SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 48, 7, 1024
 #: Ids sent to every executor at most (a long each); more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def max_sketch_distance(percent: int, sigmas: float = 6.0) -> int:
-    """Largest XOR population count that a pair at the threshold shows, with that many standard deviations."""
-    k, j = BANDS * ROWS, percent / 100
-    low = max(0.0, j - sigmas * (j * (1 - j) / k) ** 0.5)
-    expected = SKETCH_BITS / 2 * (1 - np.exp(-4 * k * (1 - low) / SKETCH_BITS))
-    return int(np.ceil(expected + 3 * (SKETCH_BITS / 4) ** 0.5))
+def max_sketch_distance(percent: int, deviations: float = 4.0) -> int:
+    """Largest XOR population count of a pair at the threshold, that many standard deviations out."""
+    k, n, far = BANDS * ROWS, SKETCH_BITS, 1 - percent / 100
+    left = np.exp(-4 * k * far / n)
+    expected = n / 2 * (1 - left)
+    by_samples = 2 * k * left * (far * (1 - far) / k) ** 0.5
+    by_folding = (expected * (1 - expected / n)) ** 0.5
+    return int(np.ceil(expected + deviations * np.hypot(by_samples, by_folding)))
 
 
 class Signer:
+    """One-permutation MinHash: the hash range is cut into a bin per sample, a bin's sample is its least hash.
+
+    An empty bin borrows from the full bin that comes first in an order of its own, the same for all
+    documents, so each sample still agrees with probability |A & B| / |A | B|.
+    """
+
     def __init__(self, shingle: int):
         self.shingle, self.cache, k = shingle, WordHashes(), BANDS * ROWS
-        self.a = odd_constants(k, 21).astype(np.uint32) | np.uint32(1)
-        self.b = odd_constants(k, 22).astype(np.uint32)
+        self.edges = np.array([(i << 64) // k for i in range(k)], np.uint64)
+        rnd = np.random.default_rng(21)
+        self.order = np.stack([rnd.permutation(k) for _ in range(k)]).astype(np.int16)
         self.c = odd_constants(ROWS, 23)
         self.band = odd_constants(BANDS, 24)
         self.slot = odd_constants(k, 25)
@@ -53,18 +62,20 @@ class Signer:
         return shingle_hashes(fold(text).split(), self.shingle, self.cache)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
-        h = (s >> np.uint64(32)).astype(np.uint32)
-        low = np.full(len(self.a), np.uint32(0xFFFFFFFF))
-        for i in range(0, len(h), 1024):
-            low = np.minimum(low, (h[None, i : i + 1024] * self.a[:, None] + self.b[:, None]).min(axis=1))
-        return low
+        at = np.searchsorted(s, self.edges)
+        full = at < np.append(at[1:], len(s))
+        source = np.arange(len(at))
+        some, none = np.nonzero(full)[0], np.nonzero(~full)[0]
+        if len(none):
+            source[none] = some[self.order[np.ix_(none, some)].argmin(axis=1)]
+        return s[at[source]]
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        m = samples.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        m = samples.reshape(-1, BANDS, ROWS)
         return mix((mix(m + self.c) * self.c).sum(axis=2, dtype=np.uint64) + self.band).astype(np.int64)
 
     def sketch(self, samples: np.ndarray) -> bytes:
-        at = (mix(samples.astype(np.uint64) * self.slot + self.slot) >> np.uint64(55)).astype(np.int64)
+        at = (mix(samples * self.slot + self.slot) % np.uint64(SKETCH_BITS)).astype(np.int64)
         return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
