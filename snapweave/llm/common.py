@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -77,21 +76,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             yield batch.slice(start), texts[start:]
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered; emptied when it grows past a fixed number of words."""
-
-    MOST = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (murmur3's constants)."""
     h = h ^ (h >> np.uint64(33))
@@ -105,14 +89,66 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_hashes(words: list[bytes], n: int, cache: WordHashes) -> np.ndarray:
-    """Distinct 64-bit hashes of the n-word shingles, sorted; a shorter sequence is one shingle, none for no words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = cache.of(words)
-    k = min(n, len(words))
-    c = odd_constants(n, 11)
-    out = np.full(len(words) - k + 1, (k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for j in range(k):
-        out += mix(h[j : len(words) - k + 1 + j] + c[j])* c[j]
-    return np.unique(mix(out))
+#: Bytes as they are but A-Z lower-cased and white space as one kind: words are `[^ \t-\r]+`.
+SPACE_BYTES = bytes(32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_ROLL = 0x9E3779B97F4A7C15
+_VALUES = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES[32] = 0
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_ROLL ** i and its inverse, modulo 2 ** 64, for i < n."""
+    if len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for k, base in enumerate((_ROLL, pow(_ROLL, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run values[start:end] (order matters, place doesn't)."""
+    up, down = powers(len(values) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes | None], table: bytes = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and each text's number of words. table maps separators to a space."""
+    data = np.frombuffer(b" %b " % b" ".join(t or b"" for t in texts).translate(table), np.uint8)
+    space = data == 32
+    turn = np.flatnonzero(space[1:] != space[:-1]) + 1  # starts and ends by turns
+    starts, ends = turn[::2], turn[1::2]
+    edges = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    counts = np.diff(np.searchsorted(starts, edges + 1))
+    return rolled(_VALUES[data], starts, ends), counts
+
+
+def groups(texts: list, most: int = 1 << 20):
+    """Index ranges of texts of about `most` bytes together."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"") + 1
+        if size >= most:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Per text the distinct 64-bit hashes of its n-word shingles, sorted; fewer words are one shingle, none for no words."""
+    out = []
+    for a, b in groups(texts):
+        h, counts = word_hashes(texts[a:b], SPACE_BYTES)
+        long = np.zeros(max(0, len(h) - n + 1), np.uint64)
+        for j in range(n):
+            long = (long + h[j : j + len(long)]) * np.uint64(_ROLL)
+        long = mix(long)
+        at = 0
+        for m in counts.tolist():
+            out.append(np.unique(long[at : at + m - n + 1]) if m >= n else rolled(h[at : at + m], np.array([0]), np.array([m])) if m else np.empty(0, np.uint64))
+            at += m
+    return out

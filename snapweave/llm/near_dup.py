@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bound_batches, checkpoint, fold, mix, odd_constants, shingle_hashes, slices
+from .common import bound_batches, checkpoint, mix, odd_constants, shingle_sets, slices
 from .linking import connect
 
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 48, 7, 1024
@@ -45,30 +45,32 @@ def max_sketch_distance(percent: int, deviations: float = 4.0) -> int:
 class Signer:
     """One-permutation MinHash: the hash range is cut into a bin per sample, a bin's sample is its least hash.
 
-    An empty bin borrows from the full bin that comes first in an order of its own, the same for all
-    documents, so each sample still agrees with probability |A & B| / |A | B|.
+    An empty bin borrows from the nearest full bin on a side of its own, the same for all documents, and
+    remembers how far away that was, so each sample still agrees with probability |A & B| / |A | B|.
     """
 
     def __init__(self, shingle: int):
-        self.shingle, self.cache, k = shingle, WordHashes(), BANDS * ROWS
+        self.shingle, k = shingle, BANDS * ROWS
         self.edges = np.array([(i << 64) // k for i in range(k)], np.uint64)
         rnd = np.random.default_rng(21)
-        self.order = np.stack([rnd.permutation(k) for _ in range(k)]).astype(np.int16)
+        self.left = rnd.random(k) < 0.5
+        self.dealt = rnd.permutation(k)
         self.c = odd_constants(ROWS, 23)
         self.band = odd_constants(BANDS, 24)
         self.slot = odd_constants(k, 25)
 
-    def shingles(self, text: bytes | None) -> np.ndarray:
-        return shingle_hashes(fold(text).split(), self.shingle, self.cache)
-
     def samples(self, s: np.ndarray) -> np.ndarray:
+        k = len(self.edges)
         at = np.searchsorted(s, self.edges)
         full = at < np.append(at[1:], len(s))
-        source = np.arange(len(at))
-        some, none = np.nonzero(full)[0], np.nonzero(~full)[0]
+        some, none = np.flatnonzero(full), np.flatnonzero(~full)
+        out = s[np.minimum(at, len(s) - 1)]
         if len(none):
-            source[none] = some[self.order[np.ix_(none, some)].argmin(axis=1)]
-        return s[at[source]]
+            right = np.searchsorted(some, none)
+            source = np.where(self.left[none], some[right - 1], some[right % len(some)])
+            far = np.where(self.left[none], none - source, source - none) % k
+            out[none] = mix(out[source] + far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return out[self.dealt]
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
         m = samples.reshape(-1, BANDS, ROWS)
@@ -87,8 +89,7 @@ def _signatures(docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
         for batch, texts in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             n, digests, bands, sketches = [], [], [], []
-            for i, t in zip(ids, texts):
-                s = signer.shingles(t)
+            for i, s in zip(ids, shingle_sets(texts, shingle)):
                 n.append(len(s))
                 if len(s):
                     low = signer.samples(s)
@@ -115,9 +116,8 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int, text_col: str) -> DataF
         wanted = F.broadcast(wanted)
 
     def work(batches):
-        signer = Signer(shingle)
         for batch, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([signer.shingles(t).tobytes() for t in texts], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, shingle)], pa.binary())], ["id", "set"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return columns.join(wanted, "doc_id", "left_semi").mapInArrow(work, "id long, set binary")

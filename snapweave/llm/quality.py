@@ -14,39 +14,20 @@ doc_ids with conflicting labels are not learned from. Repeated rows get equal sc
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, groups, slices, word_hashes
 from .sampling import held_out, sigmoid, thinned
 
 BUCKETS, FACTORS, LENGTHS, PER_LABEL, THRESHOLD = 1 << 11, 8, 24, 1500, 0.3
-TOKEN = re.compile(rb"[^\s]+")
 STATS = ("words", "word length", "upper", "digits", "symbols", "marks", "distinct", "commonest", "lines", "line length", "repeated lines", "bars", "non-ascii")
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.split()
-
-
-class Buckets(dict):
-    """token -> bucket of its letters and digits, remembered for a bounded number of tokens."""
-
-    MOST = 400_000
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        b = self[token] = xxhash.xxh32_intdigest(token.lower().strip(b".,;:!?()[]\"'")) % BUCKETS
-        return b
-
-
 _CLASS = np.zeros((5, 256), np.int64)
 _CLASS[0, 65:91] = 1
 _CLASS[1, 48:58] = 1
@@ -69,15 +50,19 @@ def statistics(text: bytes, at: np.ndarray, n: int) -> np.ndarray:
     ])
 
 
-def vector(text: bytes | None, n_chars: int | None, cache: Buckets) -> np.ndarray:
-    """Word buckets, raw statistics, one-hot recorded length."""
-    text = text or b""
-    words = tokens_of(text)
-    at = np.bincount(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)), minlength=BUCKETS) if words else np.zeros(BUCKETS, np.int64)
-    shares = np.sqrt(at / max(len(words), 1))
-    length = np.zeros(LENGTHS)
-    length[0 if n_chars is None or n_chars < 0 else min(LENGTHS - 1, 1 + int(n_chars).bit_length())] = 1
-    return np.concatenate([shares, statistics(text, at, len(words)), length])
+def vectors(texts: list[bytes | None], lengths: list[int | None]) -> np.ndarray:
+    """A row per text: word buckets, raw statistics, one-hot recorded length."""
+    out = np.zeros((len(texts), BUCKETS + len(STATS) + LENGTHS), np.float32)
+    for a, b in groups(texts):
+        h, counts = word_hashes(texts[a:b])
+        bucket, end = (h % np.uint64(BUCKETS)).astype(np.int64), np.cumsum(counts)
+        for i, (stop, n) in enumerate(zip(end.tolist(), counts.tolist()), a):
+            at = np.bincount(bucket[stop - n : stop], minlength=BUCKETS)
+            out[i, :BUCKETS] = np.sqrt(at / max(n, 1))
+            out[i, BUCKETS : BUCKETS + len(STATS)] = statistics(texts[i] or b"", at, n)
+            n_chars = lengths[i]
+            out[i, BUCKETS + len(STATS) + (0 if n_chars is None or n_chars < 0 else min(LENGTHS - 1, 1 + int(n_chars).bit_length()))] = 1
+    return out
 
 
 @dataclass
@@ -131,9 +116,8 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, *, epochs: int = 30,
 
 def _vectors(rows: DataFrame, extra: str) -> DataFrame:
     def work(batches):
-        cache = Buckets()
         for batch, texts in slices(batches):
-            x = [vector(t, n, cache).astype("<f4").tobytes() for t, n in zip(texts, batch.column("n_chars").to_pylist())]
+            x = [v.astype("<f4").tobytes() for v in vectors(texts, batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(extra), pa.array(x, pa.binary())], [extra, "x"])
 
     return rows.select("text", "n_chars", extra).mapInArrow(work, f"{extra} {dict(rows.dtypes)[extra]}, x binary")
@@ -169,12 +153,12 @@ def score(docs: DataFrame, labels: DataFrame, *, model: FactorisationMachine | N
     id_type = dict(docs.dtypes)["doc_id"]
 
     def work(batches):
-        fm, cache = shared.value, Buckets()
+        fm = shared.value
         for batch, texts in slices(batches):
             lengths, out = batch.column("n_chars").to_pylist(), np.full(len(texts), 0.5)
             if fm is not None:
                 for s in range(0, len(texts), 128):
-                    out[s : s + 128] = fm.score(np.stack([vector(t, n, cache) for t, n in zip(texts[s : s + 128], lengths[s : s + 128])]))
+                    out[s : s + 128] = fm.score(vectors(texts[s : s + 128], lengths[s : s + 128]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     scored = _read(docs).mapInArrow(work, f"doc_id {id_type}, score double, predicted int")
