@@ -32,7 +32,7 @@ def tiles(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole runs of equal (tile, key) of sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -53,11 +53,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def propose(rows: DataFrame, max_distance: int, per_row: int = 32) -> DataFrame:
+def propose(rows: DataFrame, max_distance: int, per_row: int) -> DataFrame:
     """(a, b) pairs to verify; a proposed b."""
 
     def work(batches):
-        for t in _runs(batches):
+        for t in runs(batches):
             tile = t.column("tile").to_numpy()
             key, ids, labels = (t.column(c).to_numpy() for c in ("key", "id", "label"))
             words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
@@ -92,3 +92,35 @@ def propose(rows: DataFrame, max_distance: int, per_row: int = 32) -> DataFrame:
 
     dealt = rows.select("tile", "key", "id", "label", "sketch", "tried").repartition("tile").sortWithinPartitions("tile")
     return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def buckets_of(tile: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs of equal (tile, key) of at least two rows."""
+    edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (key[1:] != key[:-1]), [True]]))
+    return ((s, e) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()) if e - s > 1)
+
+
+def wanted(rows: DataFrame, max_distance: int) -> DataFrame:
+    """(tile, key, id, label) of the rows that have a mate of another component within max_distance."""
+
+    def work(batches):
+        for t in runs(batches):
+            tile, key, ids, labels = (t.column(c).to_numpy() for c in ("tile", "key", "id", "label"))
+            words = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+            order = np.lexsort((ids, key, tile))
+            tile, key, ids, labels, words = tile[order], key[order], ids[order], labels[order], words[order]
+            want = np.zeros(len(ids), bool)
+            for s, e in buckets_of(tile, key):
+                for i0 in range(s, e, 128):
+                    i1 = min(e, i0 + 128)
+                    d = np.zeros((i1 - i0, e - s), np.int32)
+                    for w in range(words.shape[1]):
+                        d += np.bitwise_count(words[i0:i1, None, w] ^ words[None, s:e, w])
+                    near = (d <= max_distance) & (labels[i0:i1, None] != labels[None, s:e])
+                    want[i0:i1] |= near.any(axis=1)
+                    want[s:e] |= near.any(axis=0)
+            if want.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[want]) for x in (tile, key, ids, labels)], ["tile", "key", "id", "label"])
+
+    dealt = rows.select("tile", "key", "id", "label", "sketch").repartition("tile").sortWithinPartitions("tile")
+    return dealt.mapInArrow(work, "tile long, key long, id long, label long")

@@ -1,9 +1,10 @@
 """Components of a similarity graph from bucket keys: nominate, verify, unite, until nothing could still join two components.
 
-Rows of one key are mates. Every row is first compared with the least id of its best bucket; then
-`buckets.propose` yields comparisons between different components only, until none is left. The caller
-verifies pairs exactly. So the components are those of all verified links between mates whose sketches lie
-within `limit`, without ever listing all pairs of a bucket.
+Rows of one key are mates. Every row is first compared with the least id of its best bucket. What then still
+lies in different components is settled bucket by bucket: either in place, where the caller compares the
+rows of a bucket (in blocks of bounded size) and returns a spanning set of links, or by proposed pairs between
+different components, until none is left. So the components are those of all verified links between mates
+whose sketches lie within `limit`, and no list of all pairs of a bucket is ever made.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import propose, tiles
+from .buckets import propose, tiles, wanted
 from .common import checkpoint
 from .components import components
 
@@ -26,26 +27,41 @@ def distance(x: str, y: str, size: int) -> Column:
     return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(size // 8)), F.lit(0))
 
 
-def _remaining(mates: DataFrame, labels: DataFrame, tried: DataFrame, sketches: DataFrame, limit: int) -> DataFrame:
-    labelled = mates.select("key", "id", "n").join(labels.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    memory = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried"))
-    rows = labelled.join(mixed, "key").join(sketches, "id").join(memory, "id", "left")
-    return propose(tiles(rows), limit)
+def _mixed(mates: DataFrame, labels: DataFrame | None, sketches: DataFrame) -> DataFrame:
+    """Rows (key, id, n, label, sketch) of the buckets that hold several components; of buckets with the same members, one."""
+    if labels is None:
+        labelled = mates.select("key", "id", "n", F.col("id").alias("label"))
+    else:
+        labelled = mates.select("key", "id", "n").join(labels.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+    members = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
+    by_key = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("id").alias("first"), members.alias("members"), F.count(F.lit(1)).alias("m"))
+    one = by_key.where("x <> y").groupBy("first", "members", "m").agg(F.min("key").alias("key")).select("key")
+    return labelled.join(one, "key").join(sketches, "id")
 
 
-def connect(keyed: DataFrame, sketches: DataFrame, size: int, limit: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
-    """keyed (id, key), sketches (id, sketch of `size` bytes) -> (id, component) of the linked ids; None if no two share a key."""
+def connect(keyed: DataFrame, sketches: DataFrame, size: int, limit: int, verify: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """keyed (id, key), sketches (id, sketch of `size` bytes) -> (id, component) of the linked ids; None if no two share a key.
+
+    verify gets pairs (a, b) and returns the linked ones. resolve, if given, gets what is left after the first
+    round as rows (tile, key, id, label), those with a mate of another component within `limit`, and returns
+    links (a, b) that join all components within a tile's keys that are linked; else rounds of proposals go on.
+    """
     shared = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).where("center < _last").drop("_last")
     mates = checkpoint(keyed.join(shared, "key"))
     stars = mates.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").withColumn("d", distance("x", "y", size)).where(F.col("d") <= limit)
     pairs = checkpoint(stars.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s")).select("a", F.col("s.b").alias("b")))
     edges = tried = labels = None
+    per_row = 4
     while pairs.limit(1).count():
         found = verify(pairs)
         edges = found if edges is None else checkpoint(edges.unionByName(found))
-        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
         labels = components(edges)
-        pairs = checkpoint(_remaining(mates, labels, tried, sketches, limit))
+        if resolve is not None:
+            rows = checkpoint(wanted(tiles(_mixed(mates, labels, sketches)), limit))
+            return components(edges.unionByName(resolve(rows))) if rows.limit(1).count() else labels
+        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
+        memory = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried"))
+        pairs = checkpoint(propose(tiles(_mixed(mates, labels, sketches).join(memory, "id", "left")), limit, per_row))
+        per_row *= 4
     return labels

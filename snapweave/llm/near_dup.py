@@ -8,9 +8,10 @@ standard deviations of the estimate below the threshold before any full set is f
 
 Documents with equal sets form a class, found by grouping on a 128-bit digest; only class
 representatives enter the bands, so thousands of copies cost one row each. Within a band bucket each
-representative is first compared with its best-estimated bucket minimum, then `linking.connect` asks for the
-comparisons that could still join two components, until none is left. Components are therefore those of
-the full link graph, up to the bands' miss probability ((1 - s^rows)^bands: 9e-9 at s = 0.85) and the sketch's.
+representative is first compared with its best-estimated bucket minimum; rows that then still have a mate of
+another component within the sketch's bound are compared exactly within their bucket (blocks of bounded size). Components are therefore those of
+the full link graph, up to the bands' miss probability ((1 - s^rows)^bands: at most MISS just at the threshold,
+1e-7 at 0.9) and the sketch's.
 
 Ties and repeats: rows that share a doc_id are one node. Null doc_id: such rows may lend their text to no
 one; component_id null, kept false. Empty table: empty result.
@@ -24,17 +25,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import buckets_of, runs
 from .common import bound_batches, checkpoint, mix, odd_constants, shingle_sets, slices
 from .linking import connect
 
-SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 48, 7, 1024
+SHINGLE, ROWS, SKETCH_BITS = 5, 7, 1024
+#: Chance that a pair just at the threshold shares no band.
+MISS = 5e-6
 #: Ids sent to every executor at most (a long each); more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 
 
+def bands_for(percent: int) -> int:
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
 def max_sketch_distance(percent: int, deviations: float = 4.0) -> int:
     """Largest XOR population count of a pair at the threshold, that many standard deviations out."""
-    k, n, far = BANDS * ROWS, SKETCH_BITS, 1 - percent / 100
+    k, n, far = bands_for(percent) * ROWS, SKETCH_BITS, 1 - percent / 100
     left = np.exp(-4 * k * far / n)
     expected = n / 2 * (1 - left)
     by_samples = 2 * k * left * (far * (1 - far) / k) ** 0.5
@@ -49,14 +57,15 @@ class Signer:
     remembers how far away that was, so each sample still agrees with probability |A & B| / |A | B|.
     """
 
-    def __init__(self, shingle: int):
-        self.shingle, k = shingle, BANDS * ROWS
+    def __init__(self, percent: int):
+        self.n_bands = bands_for(percent)
+        k = self.n_bands * ROWS
         self.edges = np.array([(i << 64) // k for i in range(k)], np.uint64)
         rnd = np.random.default_rng(21)
         self.left = rnd.random(k) < 0.5
         self.dealt = rnd.permutation(k)
         self.c = odd_constants(ROWS, 23)
-        self.band = odd_constants(BANDS, 24)
+        self.band = odd_constants(self.n_bands, 24)
         self.slot = odd_constants(k, 25)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
@@ -73,7 +82,7 @@ class Signer:
         return out[self.dealt]
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
-        m = samples.reshape(-1, BANDS, ROWS)
+        m = samples.reshape(-1, self.n_bands, ROWS)
         return mix((mix(m + self.c) * self.c).sum(axis=2, dtype=np.uint64) + self.band).astype(np.int64)
 
     def sketch(self, samples: np.ndarray) -> bytes:
@@ -81,11 +90,11 @@ class Signer:
         return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _signatures(docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
+def _signatures(docs: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and for non-empty sets bands and sketch."""
 
     def work(batches):
-        signer = Signer(shingle)
+        signer = Signer(percent)
         for batch, texts in slices(batches):
             ids = batch.column("doc_id").to_pylist()
             n, digests, bands, sketches = [], [], [], []
@@ -141,10 +150,66 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, tex
     return checkpoint(joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long"))
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, from the elements that several sets hold."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = times[at] > 1
+    row, at = row[some], (np.cumsum(times > 1) - 1)[at[some]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(at.max(initial=-1)) + 1, 4096):
+        here = (at >= start) & (at < start + 4096)
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[here], at[here] - start] = 1
+        m = m[:, m.any(axis=0)]
+        out += m @ m.T
+    return out
+
+
+def spanning_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets that join whatever components of one bucket are linked."""
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (labels[:, None] != labels[None, :])
+    root = {int(x): int(x) for x in labels}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
+        a, b = top(int(labels[i])), top(int(labels[j]))
+        if a != b:
+            root[a] = b
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _resolved(docs: DataFrame, rows: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
+    """rows (tile, key, id, label) -> links (a, b) found by comparing full sets within each bucket."""
+    sets = checkpoint(_sets(docs, rows.select("id").distinct(), shingle, text_col).groupBy("id").agg(F.first("set").alias("set")))
+
+    def work(batches):
+        for t in runs(batches):
+            tile, key, ids, labels = (t.column(c).to_numpy() for c in ("tile", "key", "id", "label"))
+            order = np.lexsort((ids, key, tile))
+            tile, key, ids, labels = tile[order], key[order], ids[order], labels[order]
+            held = t.column("set").to_pylist()
+            found = [x for s, e in buckets_of(tile, key) for x in spanning_links(ids[s:e], labels[s:e], [np.frombuffer(held[i], np.uint64) for i in order[s:e]], percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    dealt = rows.join(sets, "id").select("tile", "key", "id", "label", "set").repartition("tile").sortWithinPartitions("tile")
+    return checkpoint(dealt.mapInArrow(work, "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     bound_batches(docs.sparkSession)
-    signed = checkpoint(_signatures(docs, shingle, text_col))
+    signed = checkpoint(_signatures(docs, percent, shingle, text_col))
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
@@ -152,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGL
     )
     reps = checkpoint(reps)
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    labels = connect(keyed, reps.select("id", "sketch"), SKETCH_BITS // 8, max_sketch_distance(percent), lambda pairs: _verified(docs, pairs, percent, shingle, text_col))
+    labels = connect(keyed, reps.select("id", "sketch"), SKETCH_BITS // 8, max_sketch_distance(percent), lambda pairs: _verified(docs, pairs, percent, shingle, text_col), lambda rows: _resolved(docs, rows, percent, shingle, text_col))
     member = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest")
     if labels is None:
         out = member.withColumn("component_id", F.col("rep"))
