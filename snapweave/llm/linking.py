@@ -46,9 +46,10 @@ def connect(keyed: DataFrame, sketches: DataFrame, size: int, limit: int, verify
     round as rows (tile, key, id, label), those with a mate of another component within `limit`, and returns
     links (a, b) that join all components within a tile's keys that are linked; else rounds of proposals go on.
     """
-    shared = keyed.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).where("center < _last").drop("_last")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # most keys have one row: only a count is shuffled
     mates = checkpoint(keyed.join(shared, "key"))
-    stars = mates.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    centers = mates.groupBy("key").agg(F.min("id").alias("center"))
+    stars = mates.join(centers, "key").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").withColumn("d", distance("x", "y", size)).where(F.col("d") <= limit)
     pairs = checkpoint(stars.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s")).select("a", F.col("s.b").alias("b")))
     edges = tried = labels = None
