@@ -65,6 +65,7 @@ def parse(raw: str) -> Pattern | None:
     if not rest:
         return None
     segments, regex = rest.split("/"), ""
+    segments = [s for i, s in enumerate(segments) if s != "**" or segments[i + 1 : i + 2] != ["**"]]
     if not anchored:
         regex = "(?:.*/)?"
     for i, s in enumerate(segments):
