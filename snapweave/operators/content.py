@@ -103,7 +103,9 @@ def chunk(files: DataFrame, *, id_col: str = "path", content_col: str = "content
                     )
 
     rows = files.select(id_col, F.col(content_col).cast("binary").alias("_content"))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)  # whole files: few per batch
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= 256:
+        conf.set(name, 256)  # whole files: few per batch
     return rows.mapInArrow(work, f"`{id_col}` {id_type}, ord int, offset long, length long, digest string")
 
 

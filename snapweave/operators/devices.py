@@ -42,6 +42,12 @@ def device_list(devices: DataFrame, snapshots: DataFrame, now: datetime) -> Data
     )
 
 
+def with_backup(snapshots: DataFrame, devices: DataFrame) -> DataFrame:
+    """Devices with a complete snapshot, by their newest; one that was removed has no name of its own."""
+    newest = snapshots.where("status = 'complete'").groupBy("device_id").agg(F.max("started_at").alias("newest"))
+    return newest.join(devices.select("device_id", "name"), "device_id", "left").select("device_id", F.coalesce("name", F.lit("Removed device")).alias("name"), "newest").orderBy(F.desc("newest"), "device_id")
+
+
 def health_summary(listed: DataFrame) -> DataFrame:
     return listed.groupBy("health").agg(F.count(F.lit(1)).alias("devices"), F.min("name").alias("first_device"))
 

@@ -123,6 +123,17 @@ def delete_cascade(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     return [t.join(gone.select("snapshot_id"), "snapshot_id", "left_anti") for t in tables]
 
 
+def lookup(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """keys + found: point lookups of many keys at once."""
+    return keys.select(key).distinct().join(rows.select(key, F.lit(True).alias("found")).distinct(), key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def run_counters(entries: DataFrame, sent: DataFrame | None = None) -> DataFrame:
+    """Per snapshot: files, dirs and bytes of its own entries, and what `sent` (upload_plan) says was uploaded and spared."""
+    out = entries.groupBy("snapshot_id").agg(F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "dir").alias("dirs"), F.sum("size").alias("bytes"))
+    return out if sent is None else out.join(sent, "snapshot_id", "left").na.fill(0, ["uploaded_bytes", "deduplicated_bytes"])
+
+
 def count_rows(tables: dict[str, DataFrame], name: str) -> int:
     """Row count of one of the known tables; anything else is refused."""
     if name not in tables:

@@ -183,6 +183,15 @@ query("agent_headline", f"SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'age
 query("backup_kind", "SELECT snapshot_id, CASE WHEN status = 'running' OR parent_id IS NULL OR nth >= 4 THEN 'full' ELSE 'delta' END AS kind FROM (SELECT s.*, n.nth % 5 AS nth FROM {snapshots} s JOIN {numbered} n ON s.snapshot_id = n.snapshot_id) x")(
     lambda t: t("snapshots").join(t("numbered").select("snapshot_id", (F.col("nth") % 5).alias("chain")), "snapshot_id").select("snapshot_id", devices.backup_kind(F.col("status") == "running", F.col("parent_id"), F.col("chain"), 4).alias("kind")))
 
+query("devices_with_backup", "SELECT s.device_id, COALESCE(d.name, 'Removed device') AS name FROM (SELECT DISTINCT device_id FROM {snapshots} WHERE status = 'complete') s LEFT JOIN {devices} d ON s.device_id = d.device_id AND NOT d.revoked")(
+    lambda t: devices.with_backup(t("snapshots"), t("devices").where("NOT revoked")).select("device_id", "name"))
+query("run_counters", "SELECT snapshot_id, COUNT(CASE WHEN type = 'file' THEN 1 END) AS files, COUNT(CASE WHEN type = 'dir' THEN 1 END) AS dirs, CAST(SUM(size) AS BIGINT) AS bytes FROM {entries} GROUP BY snapshot_id")(lambda t: store.run_counters(t("entries")))
+query("chunks_known", "SELECT DISTINCT l_partkey AS digest, l_partkey IN (SELECT digest FROM {chunks}) AS found FROM {lineitem}")(lambda t: store.lookup(t("chunks"), t("lineitem").select(F.col("l_partkey").alias("digest")), "digest"))
+query("account_first", "SELECT account_id, (SELECT COUNT(*) FROM {accounts}) AS accounts FROM {accounts} ORDER BY account_id LIMIT 1")(
+    lambda t: t("accounts").orderBy("account_id").limit(1).select("account_id").crossJoin(t("accounts").agg(F.count(F.lit(1)).alias("accounts"))))
+query("codes_outstanding", f"SELECT code, CASE WHEN code % 3 = 0 THEN 'used' WHEN expires_at < TIMESTAMP '{EVENTS_NOW}' THEN 'expired' ELSE 'open' END AS state FROM {{codes}} ORDER BY code DESC LIMIT 50")(
+    lambda t: devices.outstanding_codes(t("codes").withColumn("created_at", F.col("code")).withColumn("used_at", F.when(F.col("code") % 3 == 0, F.lit(1))), _events_now).select("code", "state"))
+
 # --- change detection and rules ----------------------------------------------------------------------------
 
 _STAMP = lambda c: F.timestamp_seconds(F.col(c))
