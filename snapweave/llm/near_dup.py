@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGL
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     bound_batches(docs.sparkSession)
     signed = checkpoint(_signatures(docs, percent, shingle, text_col))
-    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written, so that joins on the digest of many copies read plain exchanges, which can be split where they are skewed
+    classes = checkpoint(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
         .select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
