@@ -1,0 +1,49 @@
+"""Line dedup against a brute force by edit similarity alone."""
+
+import random
+
+import pytest
+
+from snapweave.llm import line_dedup
+
+from test_line_dedup import brute, corpus, levenshtein
+
+
+def pairs(rnd, n_words, typos, n):
+    """(line, changed line) with one replaced word, or with as many typos as the similarity allows."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    out = []
+    while len(out) < n:
+        w = [word() for _ in range(n_words)]
+        if typos:
+            x = list(" ".join(w))
+            for i in rnd.sample(range(len(x)), int(typos * len(x))):
+                x[i] = rnd.choice("abcdefgh")
+            y = "".join(x)
+        else:
+            v = list(w)
+            v[rnd.randrange(n_words)] = word()
+            y = " ".join(v)
+        x = " ".join(w)
+        if x != y and levenshtein(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9:
+            out.append((x, y))
+    return out
+
+
+@pytest.mark.parametrize("typos", [0, 0.05])
+def test_recall_by_edit_similarity_alone(spark, typos):
+    rnd = random.Random(8)
+    for sizes, least in (((3, 5, 7), 1.0), ((10, 20, 50, 100), 0.99)):
+        made = [p for k in sizes for p in pairs(rnd, k if not typos else max(5, k), typos, 60)]
+        docs = [(2 * i + j, line) for i, p in enumerate(made) for j, line in enumerate(p)]
+        got = {r["doc_id"]: r["n_kept"] for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert sum(got[2 * i + 1] == 0 for i in range(len(made))) >= least * len(made)
+        assert all(got[2 * i] == 1 for i in range(len(made)))
+
+
+def test_links_are_those_of_the_edit_similarity(spark, monkeypatch):
+    docs = corpus()
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(line_dedup, "RADIUS", 64)  # for the brute force only: no pair is left out by its SimHash or words
+    monkeypatch.setattr(line_dedup, "FUZZY_WORDS", 1)
+    assert got == brute(docs)
