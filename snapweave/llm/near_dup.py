@@ -3,7 +3,7 @@
 A document's set: distinct hashes of its k-word shingles over `[^ \\t-\\r]+` words, A-Z lower-cased; fewer
 words are one shingle; no words or null text: an empty set, linked with nothing. Documents are linked when
 100 * |A & B| >= percent * |A | B|, decided on full sets. MinHash bands nominate; the odd sketch (parity
-bitmap of the MinHash samples; the population count of an XOR estimates the distance) rejects what is four
+bitmap of the MinHash samples; the population count of an XOR estimates the distance) rejects what is five
 standard deviations of the estimate below the threshold before any full set is fetched.
 
 Documents with equal sets form a class, found by grouping on a 128-bit digest; only class
@@ -40,7 +40,7 @@ def bands_for(percent: int) -> int:
     return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
 
 
-def max_sketch_distance(percent: int, deviations: float = 4.0) -> int:
+def max_sketch_distance(percent: int, deviations: float = 5.0) -> int:
     """Largest XOR population count of a pair at the threshold, that many standard deviations out."""
     k, n, far = bands_for(percent) * ROWS, SKETCH_BITS, 1 - percent / 100
     left = np.exp(-4 * k * far / n)
@@ -51,35 +51,25 @@ def max_sketch_distance(percent: int, deviations: float = 4.0) -> int:
 
 
 class Signer:
-    """One-permutation MinHash: the hash range is cut into a bin per sample, a bin's sample is its least hash.
-
-    An empty bin borrows from the nearest full bin on a side of its own, the same for all documents, and
-    remembers how far away that was, so each sample still agrees with probability |A & B| / |A | B|.
-    """
+    """MinHash with a permutation of its own for every sample, so that samples are independent for sets of every size."""
 
     def __init__(self, percent: int):
         self.n_bands = bands_for(percent)
         k = self.n_bands * ROWS
-        self.edges = np.array([(i << 64) // k for i in range(k)], np.uint64)
-        rnd = np.random.default_rng(21)
-        self.left = rnd.random(k) < 0.5
-        self.dealt = rnd.permutation(k)
+        self.add, self.times = odd_constants(k, 21)[:, None], odd_constants(k, 22)[:, None]
         self.c = odd_constants(ROWS, 23)
         self.band = odd_constants(self.n_bands, 24)
         self.slot = odd_constants(k, 25)
 
     def samples(self, s: np.ndarray) -> np.ndarray:
-        k = len(self.edges)
-        at = np.searchsorted(s, self.edges)
-        full = at < np.append(at[1:], len(s))
-        some, none = np.flatnonzero(full), np.flatnonzero(~full)
-        out = s[np.minimum(at, len(s) - 1)]
-        if len(none):
-            right = np.searchsorted(some, none)
-            source = np.where(self.left[none], some[right - 1], some[right % len(some)])
-            far = np.where(self.left[none], none - source, source - none) % k
-            out[none] = mix(out[source] + far.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return out[self.dealt]
+        out = np.full(len(self.add), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(s), 256):  # a block stays in the cache
+            x = s[i : i + 256] + self.add
+            x *= self.times
+            x ^= x >> np.uint64(32)
+            x *= self.times
+            np.minimum(out, x.min(axis=1), out=out)
+        return out
 
     def bands(self, samples: np.ndarray) -> np.ndarray:
         m = samples.reshape(-1, self.n_bands, ROWS)
