@@ -1,7 +1,9 @@
 """Document scores by masked pseudo-likelihood: every word predicted from the words on both sides.
 
 Vocabulary: the commonest words of the whole corpus (counted over every document, by 64-bit hash), the rest hashed into a
-fixed number of buckets. The network sums one embedding per place of the window (`SIDE` words left and right,
+fixed number of buckets. A word in a bucket costs log p(bucket | both sides), from the network, and
+log p(word | bucket), its share of the bucket's count, from the table of all counted words, which grows with the
+corpus and is joined by shuffle. The network sums one embedding per place of the window (`SIDE` words left and right,
 the predicted word masked), applies tanh, and predicts a class of words and the word within its class, so a
 prediction costs the square root of the vocabulary. Biases start at the corpus' log frequencies.
 
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +135,8 @@ class Network:
                 np.add.at(self.places[k], ctx, -rate / n * 16 * back)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the commonest words of all documents, and a count for every id."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all documents."""
 
     def work(batches):
         for _, texts in slices(batches):
@@ -141,7 +144,12 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 words, n = np.unique(word_hashes(texts[a:b])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counted = checkpoint(docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return checkpoint(docs.select("text").mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, counted: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest words of all documents, and a count for every id."""
+    counted = word_counts(docs) if counted is None else counted
     top = counted.orderBy(F.desc("n"), "word").limit(SIZE - HASHED).collect()
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     rest = max(0, total - sum(r["n"] for r in top)) / HASHED
@@ -178,11 +186,45 @@ def train(docs: DataFrame, words: np.ndarray, counts: np.ndarray, *, rounds: int
     return net
 
 
+def within_buckets(docs: DataFrame, words: np.ndarray, counted: DataFrame) -> DataFrame:
+    """(key, within): of every text, by its hash, the sum of log p(word | bucket) over its words outside the vocabulary."""
+    known = docs.sparkSession.createDataFrame(pa.table({"word": pa.array(np.sort(words.view(np.int64)))}))
+    rest = counted.join(F.broadcast(known), "word", "left_anti").withColumn("bucket", F.expr(f"shiftrightunsigned(word, 32) % {HASHED}"))
+    sizes = rest.groupBy("bucket").agg(F.sum("n").alias("size"))
+    share = rest.join(F.broadcast(sizes), "bucket").select("word", F.log(F.col("n") / F.col("size")).alias("share"))
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(words))
+
+    def work(batches):
+        words = shared.value
+        for _, texts in slices(batches):
+            for a, b in groups(texts):
+                h, n = word_hashes(texts[a:b])
+                out = h[~np.isin(h, words)]
+                owner = np.repeat(np.arange(len(n)), n)[~np.isin(h, words)]
+                order = np.lexsort((out, owner))
+                out, owner = out[order], owner[order]
+                new = np.flatnonzero(np.append(True, (out[1:] != out[:-1]) | (owner[1:] != owner[:-1]))) if len(out) else np.zeros(0, int)
+                keys = np.array([key_of(t) for t in texts[a:b]], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([keys, keys[owner[new]]])), pa.array([*[None] * len(n), *out[new].view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([np.ones(len(n), np.int64), np.diff(np.append(new, len(out)))]))],
+                    ["key", "word", "times"],
+                )
+
+    # a row without a word stands for each copy of a text, so that copies count once
+    held = docs.select("text").mapInArrow(work, "key long, word long, times long").join(share, "word", "left")
+    return held.groupBy("key").agg((F.sum(F.coalesce(F.col("times") * F.col("share"), F.lit(0.0))) / F.sum(F.col("word").isNull().cast("long"))).alias("within"))
+
+
+def key_of(text: bytes | None) -> int:
+    return xxhash.xxh3_64_intdigest(text or b"")
+
+
 def score(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_words, log_prob, mean_log_prob, perplexity for every row."""
     spark = docs.sparkSession
     bound_batches(spark)
-    words, counts = vocabulary(docs)
+    counted = word_counts(docs)
+    words, counts = vocabulary(docs, counted)
     shared = spark.sparkContext.broadcast((words, train(docs, words, counts, **kw)))
 
     def work(batches):
@@ -199,8 +241,9 @@ def score(docs: DataFrame, **kw) -> DataFrame:
                     total += np.bincount(owner[s : s + CHUNK], net.log_probs(ids, at[s : s + CHUNK]), len(n))
                 counts.append(n)
                 sums.append(total)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums))], ["doc_id", "n_words", "log_prob"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums)), pa.array(np.array([key_of(t) for t in texts], np.uint64).view(np.int64))], ["doc_id", "n_words", "base", "key"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double")
+    scored = docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, base double, key long")
+    scored = scored.join(within_buckets(docs, words, counted), "key").withColumn("log_prob", F.col("base") + F.col("within"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return scored.select("doc_id", "n_words", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
