@@ -8,7 +8,7 @@ the predicted word masked), applies tanh, and predicts a class of words and the
 prediction costs the square root of the vocabulary. Biases start at the corpus' log frequencies.
 
 Training in numpy: in each of `rounds` rounds the documents of that round (by a hash of the id) are read by
-all tasks; a task trains its copy of the network by mini-batches on every `stride`-th position of its
+all tasks; a task trains its copy of the network by mini-batches on every `stride`-th position (all: 1) of its
 documents, and the copies are averaged by positions trained on, as a Spark sum per parameter (every document
 takes part in exactly one round, so what is gathered grows with the corpus; only the averaged network, of
 fixed size, reaches the driver). Scoring: the sum of log p(word | both sides) over every word of every whole
@@ -32,7 +32,7 @@ from .common import bound_batches, checkpoint, groups, slices, word_hashes
 
 CLASSES, MEMBERS, HASHED, SIDE, WIDTH = 32, 32, 64, 2, 16
 SIZE = CLASSES * MEMBERS
-BATCH, RATE, STRIDE, ROUNDS, CHUNK = 256, 0.05, 8, 2, 1 << 15
+BATCH, RATE, STRIDE, ROUNDS, CHUNK = 256, 0.05, 1, 2, 1 << 15
 
 
 class Ids:
