@@ -1,68 +1,89 @@
-"""Components of a similarity graph from bucket keys: nominate, verify, unite, until nothing could still join two components.
+"""Components of a similarity graph from bucket keys: stars first, then what is left of each bucket, in place.
 
-Rows of one key are mates. Every row is first compared with the least id of its best bucket. What then still
-lies in different components is settled bucket by bucket: either in place, where the caller compares the
-rows of a bucket (in blocks of bounded size) and returns a spanning set of links, or by proposed pairs between
-different components, until none is left. So the components are those of all verified links between mates
-whose sketches lie within `limit`, and no list of all pairs of a bucket is ever made.
+Rows of one key are mates; only mates whose sketches lie within `limit` bits and whose sizes are within
+`ratio` of each other (the caller's gate) are ever compared. Every row is first compared with one centre: of the
+least ids of its buckets the one it shares most buckets with. Buckets that then still hold several components
+are settled in place (`tiles.py`): rows without a possible partner drop out, the others fetch their contents and
+are compared tile by tile; a tile returns a spanning set of links. So the components are those of all verified
+links between mates that pass the gate, no list of all pairs of a bucket is made, and no tile holds more than a
+bounded number of rows and bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import propose, tiles, wanted
 from .common import checkpoint
 from .components import components
+from .tiles import BLOCK, TILE_BYTES, Gate, deal, settle, wanted
 
 
-def distance(x: str, y: str, size: int) -> Column:
-    """Population count of the XOR of two binary sketches of `size` bytes, eight bytes at a time."""
-    def word(c: str, i: int):
-        return F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long")
+def distance(x: str, y: str, words: int) -> Column:
+    """Population count of the XOR of two sketches of so many longs."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(words)), F.lit(0))
 
-    return sum((F.bit_count(word(x, i).bitwiseXOR(word(y, i))) for i in range(size // 8)), F.lit(0))
 
+def _stars(mates: DataFrame, nodes: DataFrame, words: int, gate: Gate, block: int) -> DataFrame:
+    """Rows (tile, id, label, side, sketch, size): every row with its centre, large stars in several tiles."""
+    centers = mates.groupBy("key").agg(F.min("id").alias("center"))
+    pairs = mates.join(centers, "key").where("id <> center").groupBy("id", "center").agg(F.count(F.lit(1)).alias("n"))
+    best = pairs.groupBy("id").agg(F.max(F.struct("n", "center")).alias("s")).select("id", F.col("s.center").alias("center"))
+    both = best.join(nodes, "id").join(nodes.select(F.col("id").alias("center"), F.col("sketch").alias("y"), F.col("size").alias("m")), "center")
+    alike = (distance("sketch", "y", words) <= gate.limit) | (F.greatest("size", "m") < gate.free)
+    near = both.where(alike & (F.least("size", "m") >= F.lit(gate.ratio) * F.greatest("size", "m") - 1e-9))
+    near = checkpoint(near.select("center", "id", "sketch", "size"))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
+    large = near.groupBy("center").agg(F.count(F.lit(1)).alias("n")).select("center", salts.alias("salts"))
+    members = near.join(large, "center").select(F.xxhash64("center", F.pmod(F.xxhash64("id"), F.col("salts"))).alias("tile"), "id", F.col("id").alias("label"), F.lit(1).alias("side"), "sketch", "size")
+    hubs = large.select(F.col("center").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt")).join(nodes, "id")
+    return members.unionByName(hubs.select(F.xxhash64("id", "salt").alias("tile"), "id", F.col("id").alias("label"), F.lit(2).alias("side"), "sketch", "size"))
+
+
+def _mixed(mates: DataFrame, labels: DataFrame, nodes: DataFrame, ratio: float, block: int) -> DataFrame:
+    """Rows (tile, id, label, side, sketch, size) of the buckets that hold several components; of buckets with the same members, one.
 
-def _mixed(mates: DataFrame, labels: DataFrame | None, sketches: DataFrame) -> DataFrame:
-    """Rows (key, id, n, label, sketch) of the buckets that hold several components; of buckets with the same members, one."""
-    if labels is None:
-        labelled = mates.select("key", "id", "n", F.col("id").alias("label"))
-    else:
-        labelled = mates.select("key", "id", "n").join(labels.select("id", "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("label"))
+    A bucket of over `block` rows is parted by size first: rows whose sizes are within `ratio` share a part.
+    """
+    labelled = mates.join(labels.select("id", "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     members = F.sum(F.xxhash64("id").cast("decimal(20,0)"))
-    by_key = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("id").alias("first"), members.alias("members"), F.count(F.lit(1)).alias("m"))
-    one = by_key.where("x <> y").groupBy("first", "members", "m").agg(F.min("key").alias("key")).select("key")
-    return labelled.join(one, "key").join(sketches, "id")
+    by_key = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("id").alias("first"), members.alias("members"), F.count(F.lit(1)).alias("n"))
+    one = checkpoint(by_key.where("x <> y").groupBy("first", "members", "n").agg(F.min("key").alias("key")).select("key", "n"))
+    step = (F.floor(F.log(F.col("size")) / F.lit(float(-np.log(ratio)))) if ratio < 1 else F.col("size")).cast("long")
+    parts = F.array(step, step + 1) if ratio < 1 else F.array(step)
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        rows = labelled.join(keys, "key").join(nodes, "id")
+        part = F.explode(F.when(F.col("n") > block, parts).otherwise(F.array(F.lit(-1).cast("long"))))
+        return rows.withColumn("part", part).withColumn("key", F.when(F.col("n") > block, F.xxhash64("key", "part")).otherwise(F.col("key"))).drop("part")
 
+    by_label = rows_of(one.where(F.col("n") > block)).groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("all")).where(F.col("all") > block).select("key", F.col("top.label").alias("most"))
+    rows = rows_of(one).join(most, "key", "left").withColumn("side", F.when(F.col("label") == F.col("most"), 1).otherwise(0))
+    return deal(rows, F.lit(1), block, F.col("n") > block)
 
-def connect(keyed: DataFrame, sketches: DataFrame, size: int, limit: int, verify: Callable[[DataFrame], DataFrame], resolve: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
-    """keyed (id, key), sketches (id, sketch of `size` bytes) -> (id, component) of the linked ids; None if no two share a key.
 
-    verify gets pairs (a, b) and returns the linked ones. resolve, if given, gets what is left after the first
-    round as rows (tile, key, id, label), those with a mate of another component within `limit`, and returns
-    links (a, b) that join all components within a tile's keys that are linked; else rounds of proposals go on.
+def connect(keyed: DataFrame, nodes: DataFrame, *, words: int, gate: Gate, contents: Callable[[DataFrame], DataFrame], same: Callable, unit: int, block: int | None = None, tile_bytes: int | None = None) -> DataFrame | None:
+    """keyed (id, key), nodes (id, sketch of `words` longs, size) -> (id, component) of the linked ids; None if no two share a key.
+
+    contents(ids) gives (id, content) with content binary of about `unit` bytes per unit of size;
+    same(xs, ys) says of lists of contents which pairs are linked.
     """
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # most keys have one row: only a count is shuffled
-    mates = checkpoint(keyed.join(shared, "key"))
-    centers = mates.groupBy("key").agg(F.min("id").alias("center"))
-    stars = mates.join(centers, "key").where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    stars = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").withColumn("d", distance("x", "y", size)).where(F.col("d") <= limit)
-    pairs = checkpoint(stars.groupBy("a").agg(F.min(F.struct("d", "b")).alias("s")).select("a", F.col("s.b").alias("b")))
-    edges = tried = labels = None
-    per_row = 4
-    while pairs.limit(1).count():
-        found = verify(pairs)
-        edges = found if edges is None else checkpoint(edges.unionByName(found))
-        labels = components(edges)
-        if resolve is not None:
-            rows = checkpoint(wanted(tiles(_mixed(mates, labels, sketches)), limit))
-            return components(edges.unionByName(resolve(rows))) if rows.limit(1).count() else labels
-        tried = pairs if tried is None else checkpoint(tried.unionByName(pairs))
-        memory = tried.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("tried"))
-        pairs = checkpoint(propose(tiles(_mixed(mates, labels, sketches).join(memory, "id", "left")), limit, per_row))
-        per_row *= 4
-    return labels
+    block, tile_bytes = block or BLOCK, tile_bytes or TILE_BYTES
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")  # most keys have one row: only a count is shuffled
+    mates = checkpoint(keyed.join(shared, "key").select("key", "id"))
+    if not mates.limit(1).count():
+        return None
+
+    def links(rows: DataFrame) -> DataFrame:
+        rows = deal(rows.withColumnRenamed("tile", "key"), F.col("size") * unit, tile_bytes)
+        return checkpoint(settle(rows, contents(rows.select("id").distinct()), same, gate).distinct())
+
+    stars = _stars(mates, nodes, words, gate, block)
+    edges = links(stars)
+    labels = components(edges)
+    rows = checkpoint(wanted(_mixed(mates, labels, nodes, gate.ratio, block), gate))
+    return components(edges.unionByName(links(rows))) if rows.limit(1).count() else labels

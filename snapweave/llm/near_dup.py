@@ -7,9 +7,9 @@ bitmap of the MinHash samples; the population count of an XOR estimates the dist
 standard deviations of the estimate below the threshold before any full set is fetched.
 
 Documents with equal sets form a class, found by grouping on a 128-bit digest; only class
-representatives enter the bands, so thousands of copies cost one row each. Within a band bucket each
-representative is first compared with its best-estimated bucket minimum; rows that then still have a mate of
-another component within the sketch's bound are compared exactly within their bucket (blocks of bounded size). Components are therefore those of
+representatives enter the bands, so thousands of copies cost one row each. Every representative is first
+compared with the centre it shares most bands with; buckets that then still hold several components are
+settled in place, in tiles of bounded rows and bytes (linking.py). Components are therefore those of
 the full link graph, up to the bands' miss probability ((1 - s^rows)^bands: at most MISS just at the threshold,
 1e-7 at 0.9) and the sketch's.
 
@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import buckets_of, runs
 from .common import bound_batches, checkpoint, mix, odd_constants, shingle_sets, slices
 from .linking import connect
+from .tiles import Gate
 
 SHINGLE, ROWS, SKETCH_BITS = 5, 7, 1024
 #: Chance that a pair just at the threshold shares no band.
@@ -75,9 +75,9 @@ class Signer:
         m = samples.reshape(-1, self.n_bands, ROWS)
         return mix((mix(m + self.c) * self.c).sum(axis=2, dtype=np.uint64) + self.band).astype(np.int64)
 
-    def sketch(self, samples: np.ndarray) -> bytes:
+    def sketch(self, samples: np.ndarray) -> np.ndarray:
         at = (mix(samples * self.slot + self.slot) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signatures(docs: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
@@ -100,115 +100,54 @@ def _signatures(docs: DataFrame, percent: int, shingle: int, text_col: str) -> D
                     bands.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return columns.mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return columns.mapInArrow(work, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(id, set) of the documents named in ids, hashed anew from their whole texts."""
-    wanted = ids.select(F.col("id").alias("doc_id")).distinct()
-    if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+    """(id, content) of the documents named in ids: their sets, hashed anew from their whole texts."""
+    wanted = checkpoint(ids.select(F.col("id").alias("doc_id")).distinct())
+    if wanted.count() <= MAX_BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
     def work(batches):
         for batch, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, shingle)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(texts, shingle)], pa.binary())], ["id", "content"])
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return columns.join(wanted, "doc_id", "left_semi").mapInArrow(work, "id long, set binary")
+    return columns.join(wanted, "doc_id", "left_semi").mapInArrow(work, "id long, content binary").dropDuplicates(["id"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = checkpoint(_sets(docs, ids, shingle, text_col).groupBy("id").agg(F.first("set").alias("set")))
-
-    def work(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    return checkpoint(joined.select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long"))
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, from the elements that several sets hold."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    some = times[at] > 1
-    row, at = row[some], (np.cumsum(times > 1) - 1)[at[some]]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(at.max(initial=-1)) + 1, 4096):
-        here = (at >= start) & (at < start + 4096)
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[row[here], at[here] - start] = 1
-        m = m[:, m.any(axis=0)]
-        out += m @ m.T
-    return out
-
-
-def spanning_links(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between similar sets that join whatever components of one bucket are linked."""
-    sizes = np.array([len(s) for s in sets])
-    both = intersections(sets)
-    linked = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (labels[:, None] != labels[None, :])
-    root = {int(x): int(x) for x in labels}
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+def similar(xs: list[bytes], ys: list[bytes], percent: int) -> list[bool]:
+    """Which pairs of sets (sorted, distinct longs as bytes) reach the similarity."""
     out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(linked)))):
-        a, b = top(int(labels[i])), top(int(labels[j]))
-        if a != b:
-            root[a] = b
-            out.append((int(ids[i]), int(ids[j])))
+    for x, y in zip(xs, ys):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = np.sort(np.concatenate([x, y]), kind="stable")
+        both = int((both[1:] == both[:-1]).sum())
+        out.append(100 * both >= percent * (len(x) + len(y) - both))
     return out
 
 
-def _resolved(docs: DataFrame, rows: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
-    """rows (tile, key, id, label) -> links (a, b) found by comparing full sets within each bucket."""
-    sets = checkpoint(_sets(docs, rows.select("id").distinct(), shingle, text_col).groupBy("id").agg(F.first("set").alias("set")))
-
-    def work(batches):
-        for t in runs(batches):
-            tile, key, ids, labels = (t.column(c).to_numpy() for c in ("tile", "key", "id", "label"))
-            order = np.lexsort((ids, key, tile))
-            tile, key, ids, labels = tile[order], key[order], ids[order], labels[order]
-            held = t.column("set").to_pylist()
-            found = [x for s, e in buckets_of(tile, key) for x in spanning_links(ids[s:e], labels[s:e], [np.frombuffer(held[i], np.uint64) for i in order[s:e]], percent)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-    dealt = rows.join(sets, "id").select("tile", "key", "id", "label", "set").repartition("tile").sortWithinPartitions("tile")
-    return checkpoint(dealt.mapInArrow(work, "a long, b long").distinct())
-
-
-def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, *, percent: int = 80, shingle: int = SHINGLE, text_col: str = "text", **kw) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id, kept. kw: the bounds of connect()."""
     bound_batches(docs.sparkSession)
     signed = checkpoint(_signatures(docs, percent, shingle, text_col))
     # written, so that joins on the digest of many copies read plain exchanges, which can be split where they are skewed
     classes = checkpoint(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = (
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
-        .select(F.col("doc_id").alias("id"), "bands", "sketch").dropDuplicates(["id"])
+        .select(F.col("doc_id").alias("id"), "bands", "sketch", F.col("n_shingles").cast("int").alias("size")).dropDuplicates(["id"])
     )
     reps = checkpoint(reps)
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    labels = connect(keyed, reps.select("id", "sketch"), SKETCH_BITS // 8, max_sketch_distance(percent), lambda pairs: _verified(docs, pairs, percent, shingle, text_col), lambda rows: _resolved(docs, rows, percent, shingle, text_col))
+    labels = connect(
+        reps.select("id", F.explode("bands").alias("key")), reps.select("id", "sketch", "size"), words=SKETCH_BITS // 64, gate=Gate(max_sketch_distance(percent), percent / 100),
+        contents=lambda ids: _sets(docs, ids, shingle, text_col), same=lambda xs, ys: similar(xs, ys, percent), unit=8, **kw,
+    )
     member = signed.select("doc_id", "n_shingles", "digest").join(classes, "digest")
     if labels is None:
         out = member.withColumn("component_id", F.col("rep"))

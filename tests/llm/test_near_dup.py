@@ -1,6 +1,6 @@
 import random
 
-from snapweave.llm import linking, near_dup
+from snapweave.llm import near_dup
 from snapweave.llm.components import components
 
 
@@ -52,11 +52,10 @@ def test_against_brute_force(spark):
         assert {tuple(r) for r in near_dup.near_duplicates(df, percent=percent).collect()} == brute(docs, percent)
 
 
-def test_large_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(linking, "tiles", lambda rows, f=linking.tiles: f(rows, 4))
+def test_large_bucket_in_small_tiles(spark):
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {tuple(r) for r in near_dup.near_duplicates(df, percent=85).collect()} == brute(docs, 85)
+    assert {tuple(r) for r in near_dup.near_duplicates(df, percent=85, block=4, tile_bytes=4000).collect()} == brute(docs, 85)
 
 
 def test_given_table(spark, sf_dir):

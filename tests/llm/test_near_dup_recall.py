@@ -14,6 +14,6 @@ def test_short_pairs_at_the_threshold(percent, both, union):
         s = rnd.integers(0, 1 << 64, union, dtype=np.uint64)
         cut = both + int(rnd.integers(0, union - both + 1))
         x, y = signer.samples(np.sort(s[:cut])), signer.samples(np.sort(np.append(s[:both], s[cut:])))
-        apart = np.bitwise_count(np.frombuffer(signer.sketch(x), np.uint8) ^ np.frombuffer(signer.sketch(y), np.uint8)).sum()
+        apart = np.bitwise_count(signer.sketch(x) ^ signer.sketch(y)).sum()
         lost += not (apart <= limit and (signer.bands(x)[0] == signer.bands(y)[0]).any())
     assert lost <= 1
