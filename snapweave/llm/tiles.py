@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block and bytes of contents that are compared with another block in one task at a time.
 BLOCK, TILE_BYTES = 4096, 32 << 20
-#: Pairs whose contents are compared together.
-PAIRS = 4096
+#: Pairs of a tile that are looked at together.
+PAIRS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -64,21 +64,28 @@ def deal(rows: DataFrame, weight: Column, bound: int, large: Column | None = Non
     return rows.withColumn("_place", F.explode(places)).select(F.col("_place.tile").alias("tile"), "id", "label", F.col("_place.side").alias("side"), "sketch", "size")
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole runs of equal tiles of sorted batches."""
+def runs(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = TILE_BYTES) -> Iterator[pa.Table]:
+    """Whole runs of equal tiles of sorted batches, of about so many rows or bytes, or one tile."""
     held: list[pa.RecordBatch] = []
+
+    def large() -> bool:
+        return sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size
+
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         tile = batch.column("tile").to_numpy()
-        if last is not None and tile[0] != last:
+        if held and tile[0] != last and large():
             yield pa.Table.from_batches(held)
             held = []
+        # up to its last tile, which may go on in the next batch
         cut = int(np.searchsorted(tile != tile[-1], False)) if tile[0] == tile[-1] else int(np.nonzero(tile != tile[-1])[0][-1]) + 1
         if cut:
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
+            held.append(batch.slice(0, cut))
+            if large():
+                yield pa.Table.from_batches(held)
+                held = []
         held.append(batch.slice(cut))
         last = tile[-1]
     if held:
@@ -87,7 +94,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _numpy(t: pa.Table) -> tuple[np.ndarray, ...]:
     ids, labels, sides, sizes = (t.column(c).to_numpy() for c in ("id", "label", "side", "size"))
-    words = pa.concat_arrays(t.column("sketch").chunks).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+    words = pa.concat_arrays([c.slice(0) for c in t.column("sketch").chunks]).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
     return ids, labels, sides, sizes, words
 
 
@@ -104,13 +111,11 @@ def near(labels: np.ndarray, sides: np.ndarray, sizes: np.ndarray, words: np.nda
         yield x + a, y + a, d[x, y]
 
 
-def _each(t: pa.Table) -> Iterator[pa.Table]:
-    """The tiles of a sorted run of tiles that have at least two rows."""
-    tile = t.column("tile").to_numpy()
+def _tiles(run: pa.Table) -> Iterator[tuple[int, int]]:
+    """(start, end) of the tiles of a run that have at least two rows."""
+    tile = run.column("tile").to_numpy()
     edges = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if e - s > 1:
-            yield t.slice(s, e - s)
+    return ((s, e) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()) if e - s > 1)
 
 
 def wanted(rows: DataFrame, gate: Gate) -> DataFrame:
@@ -118,20 +123,20 @@ def wanted(rows: DataFrame, gate: Gate) -> DataFrame:
 
     def work(batches):
         for run in runs(batches):
-            for t in _each(run):
-                ids, labels, sides, sizes, words = _numpy(t)
-                want = np.zeros(len(ids), bool)
-                for i, j, _ in near(labels, sides, sizes, words, gate):
-                    want[i] = want[j] = True
-                if want.any():
-                    yield from t.filter(pa.array(want)).to_batches()
+            _, labels, sides, sizes, words = _numpy(run)
+            want = np.zeros(len(labels), bool)
+            for s, e in _tiles(run):
+                for i, j, _ in near(labels[s:e], sides[s:e], sizes[s:e], words[s:e], gate):
+                    want[i + s] = want[j + s] = True
+            if want.any():
+                yield from run.filter(pa.array(want)).to_batches()
 
     names = ["tile", "id", "label", "side", "sketch", "size"]
     return rows.select(*names).repartition("tile").sortWithinPartitions("tile").mapInArrow(work, rows.select(*names).schema)
 
 
 class Union:
-    """Components known inside one tile."""
+    """Components known inside one task."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -150,19 +155,48 @@ class Union:
         return a != b
 
 
+def _rank(group: np.ndarray) -> np.ndarray:
+    """Each row's place among the rows of its group, in the given order."""
+    order = np.argsort(group, kind="stable")
+    out = np.empty(len(group), np.int64)
+    out[order] = np.arange(len(group)) - np.searchsorted(group[order], group[order])
+    return out
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    held, n = [], 0
+    for part in pairs:
+        held.append(part)
+        n += len(part[0])
+        if n >= PAIRS:
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(x) for x in zip(*held))
+
+
 def spanning(ids, labels, pairs, contents: list, same: Callable) -> Iterator[tuple[int, int]]:
-    """Links between the contents of one tile that join whatever components are linked; pairs as from near()."""
+    """Links between the contents of some tiles that join whatever components are linked; pairs as from near().
+
+    In every round each component tries its nearest few partners, more from round to round; pairs that have come
+    into one component meanwhile are not tried.
+    """
     known = Union()
-    for i, j, d in pairs:
+    labels = labels.tolist()
+    for i, j, d in _gathered(pairs):
         order = np.argsort(d, kind="stable")
-        i, j = i[order].tolist(), j[order].tolist()
-        for s in range(0, len(i), PAIRS):
-            open_ = [(x, y) for x, y in zip(i[s : s + PAIRS], j[s : s + PAIRS]) if known.top(int(labels[x])) != known.top(int(labels[y]))]
-            if open_:
-                linked = same([contents[x] for x, _ in open_], [contents[y] for _, y in open_])
-                for (x, y), yes in zip(open_, linked):
-                    if yes and known.joined(int(labels[x]), int(labels[y])):
-                        yield int(ids[x]), int(ids[y])
+        i, j, few = i[order], j[order], 1
+        while len(i):
+            top = np.array([known.top(x) for x in labels])
+            apart = top[i] != top[j]
+            i, j = i[apart], j[apart]
+            now = (_rank(top[i]) < few) | (_rank(top[j]) < few)
+            x, y = i[now].tolist(), j[now].tolist()
+            if x:
+                for a, b, yes in zip(x, y, same([contents[k] for k in x], [contents[k] for k in y])):
+                    if yes and known.joined(labels[a], labels[b]):
+                        yield int(ids[a]), int(ids[b])
+            i, j, few = i[~now], j[~now], 2 * few
 
 
 def settle(rows: DataFrame, contents: DataFrame, same: Callable, gate: Gate) -> DataFrame:
@@ -170,10 +204,14 @@ def settle(rows: DataFrame, contents: DataFrame, same: Callable, gate: Gate) ->
 
     def work(batches):
         for run in runs(batches):
-            found = []
-            for t in _each(run):
-                ids, labels, sides, sizes, words = _numpy(t)
-                found += spanning(ids, labels, near(labels, sides, sizes, words, gate), t.column("content").to_pylist(), same)
+            ids, labels, sides, sizes, words = _numpy(run)
+
+            def pairs():
+                for s, e in _tiles(run):
+                    for i, j, d in near(labels[s:e], sides[s:e], sizes[s:e], words[s:e], gate):
+                        yield i + s, j + s, d
+
+            found = list(spanning(ids, labels, pairs(), run.column("content").to_pylist(), same))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
