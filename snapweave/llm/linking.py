@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, written
 from .components import components
 from .tiles import BLOCK, TILE_BYTES, Gate, deal, settle, wanted
 
@@ -74,11 +74,12 @@ def connect(keyed: DataFrame, nodes: DataFrame, *, words: int, gate: Gate, conte
     """
     block, tile_bytes = block or BLOCK, tile_bytes or TILE_BYTES
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")  # most keys have one row: only a count is shuffled
-    mates = checkpoint(keyed.join(shared, "key").select("key", "id"))
+    mates = written(keyed.join(shared, "key").select("key", "id"))
     if not mates.limit(1).count():
         return None
 
     def links(rows: DataFrame) -> DataFrame:
+        rows = rows if "lead" in rows.columns else rows.withColumn("lead", F.col("tile"))
         rows = deal(rows.withColumnRenamed("tile", "key"), F.col("size") * unit, tile_bytes)
         return checkpoint(settle(rows, contents(rows.select("id").distinct()), same, gate).distinct())
 

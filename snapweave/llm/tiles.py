@@ -1,6 +1,6 @@
 """Bounded tiles of large buckets, and the comparison of the rows of a tile.
 
-Rows (key, id, label, sketch, size): rows of one key are mates; label is the component that id already belongs to.
+Rows (key, id, label, side, sketch, size): rows of one key are mates; label is the component that id already belongs to.
 Mates of one component need no comparison, so the rows of a bucket's largest component ("bulk") are never compared
 with each other, only with the others: they are dealt into blocks that each meet the blocks of the others. A bucket
 of n rows with r others makes n + r * (n - r) / block + r * r / block rows, at most.
@@ -61,7 +61,8 @@ def deal(rows: DataFrame, weight: Column, bound: int, large: Column | None = Non
     with_bulk = F.transform(upto(m), lambda c: tile("b", block, c, F.lit(2)))
     bulk = F.transform(upto(n), lambda o: tile("b", o, block, F.lit(1)))
     places = F.when(F.col("_others").isNull(), whole).when(F.col("side") == 1, bulk).when(F.col("side") == 2, with_bulk).otherwise(F.concat(others, with_bulk))
-    return rows.withColumn("_place", F.explode(places)).select(F.col("_place.tile").alias("tile"), "id", "label", F.col("_place.side").alias("side"), "sketch", "size")
+    lead = [F.when(F.col("_others").isNull(), F.col("lead")).otherwise(F.col("_place.tile")).alias("lead")] if "lead" in rows.columns else []
+    return rows.withColumn("_place", F.explode(places)).select(F.col("_place.tile").alias("tile"), "id", "label", F.col("_place.side").alias("side"), "sketch", "size", *lead)
 
 
 def runs(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = TILE_BYTES) -> Iterator[pa.Table]:
@@ -119,20 +120,23 @@ def _tiles(run: pa.Table) -> Iterator[tuple[int, int]]:
 
 
 def wanted(rows: DataFrame, gate: Gate) -> DataFrame:
-    """The rows that have a mate of another component which passes the gate."""
+    """The rows that have a mate of another component which passes the gate, with the least such id of their tile as lead."""
 
     def work(batches):
         for run in runs(batches):
-            _, labels, sides, sizes, words = _numpy(run)
-            want = np.zeros(len(labels), bool)
+            ids, labels, sides, sizes, words = _numpy(run)
+            want, lead = np.zeros(len(labels), bool), np.zeros(len(labels), np.int64)
             for s, e in _tiles(run):
                 for i, j, _ in near(labels[s:e], sides[s:e], sizes[s:e], words[s:e], gate):
                     want[i + s] = want[j + s] = True
+                if want[s:e].any():
+                    lead[s:e] = ids[s:e][want[s:e]].min()
             if want.any():
-                yield from run.filter(pa.array(want)).to_batches()
+                yield from run.append_column("lead", pa.array(lead)).filter(pa.array(want)).to_batches()
 
     names = ["tile", "id", "label", "side", "sketch", "size"]
-    return rows.select(*names).repartition("tile").sortWithinPartitions("tile").mapInArrow(work, rows.select(*names).schema)
+    schema = rows.select(*names, F.lit(0).cast("long").alias("lead")).schema
+    return rows.select(*names).repartition("tile").sortWithinPartitions("tile").mapInArrow(work, schema)
 
 
 class Union:
@@ -184,6 +188,11 @@ def spanning(ids, labels, pairs, contents: list, same: Callable) -> Iterator[tup
     known = Union()
     labels = labels.tolist()
     for i, j, d in _gathered(pairs):
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        order = order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))] if len(order) else order
+        i, j, d = i[order], j[order], d[order]
         order = np.argsort(d, kind="stable")
         i, j, few = i[order], j[order], 1
         while len(i):
@@ -215,5 +224,6 @@ def settle(rows: DataFrame, contents: DataFrame, same: Callable, gate: Gate) ->
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    both = rows.join(contents, "id").select("tile", "id", "label", "side", "sketch", "size", "content")
-    return both.repartition("tile").sortWithinPartitions("tile").mapInArrow(work, "a long, b long")
+    # tiles of one lead often hold the same pairs: they are looked at together, so that these are compared once
+    both = rows.join(contents, "id").select("lead", "tile", "id", "label", "side", "sketch", "size", "content")
+    return both.repartition("lead").sortWithinPartitions("lead", "tile").mapInArrow(work, "a long, b long")
