@@ -5,9 +5,9 @@ benchmark item; an item of fewer words, but not none, is one window. A document
 occurrence of any window is hit. Window hashes only nominate; every nomination is verified word by word.
 
 Size of what is broadcast: the benchmark's words, counted first. Up to `max_broadcast_words` they go out
-as one hash set and the documents are read once without a shuffle. A larger benchmark is dealt by item
-into as many sets of that size as it needs and the documents are scanned once per set; the per-document
-hits of all sets are merged by row. No item, window or document is dropped in either case.
+as one hash set (flat arrays) and the documents are read once without a shuffle. A larger benchmark is dealt by item
+into as many sets of that size as it needs; one set at a time is gathered, sent and scanned for, and the
+rows with hits are written and merged by row at the end. No item, window or document is dropped in either case.
 
 Null text and text without words: n_words 0, nothing hit. Repeated doc_ids: one result row per input row.
 Benchmark rows with null text or null id take no part. Empty tables give empty results / no hits.
@@ -17,17 +17,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType
 
-from .common import bound_batches, odd_constants, slices, words_of
+from .common import bound_batches, odd_constants, slices, words_of, written
 
-MAX_BROADCAST_WORDS = 4_000_000
-#: Row key for merging several scans; added only when a benchmark needs more than one set.
-_ROW = "_row"
+MAX_BROADCAST_WORDS = 1_000_000
 
 
 class WindowIndex:
@@ -37,23 +37,27 @@ class WindowIndex:
         vocab: dict[bytes, int] = {}
         self.vocab, self.n = vocab, n
         self.item_ids = [str(i) for i, _ in items]
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        lengths: dict[int, list[tuple[int, np.ndarray]]] = {}
         for at, (_, text) in enumerate(items):
-            words = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
-            k = min(n, len(words))
-            for i in range(len(words) - k + 1 if k else 0):
-                by_length.setdefault(k, {}).setdefault(tuple(words[i : i + k]), set()).add(at)
-        self.tables = []
-        for k, windows in sorted(by_length.items()):
-            ids = np.array(list(windows), np.int64).reshape(-1, k)
+            words = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(text)], np.int32)
+            if len(words):
+                lengths.setdefault(min(n, len(words)), []).append((at, words))
+        self.tables = []  # per length: hash constants, hashes of the windows, the windows, where their owners begin, owners
+        for k, held in sorted(lengths.items()):
+            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, k) for _, w in held])
+            owner = np.repeat(np.array([at for at, _ in held], np.int32), [len(w) - k + 1 for _, w in held])
             for seed in range(1, 100):
                 c = odd_constants(k, seed)
-                hashes = self.hashed(ids.T, c)
-                if len(np.unique(hashes)) == len(hashes):
+                hashes = self.hashed(windows.T, c)
+                order = np.lexsort((owner, hashes))
+                equal = hashes[order][1:] == hashes[order][:-1]
+                same = (windows[order][1:] == windows[order][:-1]).all(axis=1)
+                if not (equal & ~same).any():
                     break
-            order = np.argsort(hashes)
-            owners = [np.array(sorted(s), np.int64) for s in windows.values()]
-            self.tables.append((k, c, hashes[order], ids[order], [owners[i] for i in order]))
+            first = np.append(True, ~equal)
+            new = first | np.append(True, owner[order][1:] != owner[order][:-1])
+            begins = np.append(np.cumsum(new)[first] - 1, new.sum())
+            self.tables.append((k, c, hashes[order][first], windows[order][first], begins, owner[order][new]))
 
     @staticmethod
     def hashed(columns, c: np.ndarray) -> np.ndarray:
@@ -76,7 +80,7 @@ class WindowIndex:
         known = np.concatenate([[0], np.cumsum(ids >= 0)])
         edge = np.zeros(len(ids) + 1, np.int64)
         found: list[set[int]] = [set() for _ in texts]
-        for k, c, hashes, windows, owners in self.tables:
+        for k, c, hashes, windows, begins, owners in self.tables:
             at = np.nonzero(known[k:] - known[:-k] == k)[0] if len(ids) >= k else np.empty(0, np.int64)
             if not len(at):
                 continue
@@ -91,7 +95,7 @@ class WindowIndex:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + k, -1)
             for doc, s in zip(np.searchsorted(starts, at, "right") - 1, slot):
-                found[doc].update(owners[s].tolist())
+                found[doc].update(owners[begins[s] : begins[s + 1]].tolist())
         hit = np.cumsum(edge)[:-1] > 0
         return counts, [hit[s : s + n] for s, n in zip(starts, counts)], found
 
@@ -101,7 +105,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(items: DataFrame, max_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items in sets of at most about max_words words (bytes bound words)."""
+    """Benchmark items in sets of at most about max_words words (bytes bound words), one set at a time."""
     size = items.agg(F.sum(F.octet_length("t")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     sets = max(1, -(-int(size["b"] or 0) // (2 * max_words)))
     for k in range(sets):
@@ -109,51 +113,58 @@ def _sets(items: DataFrame, max_words: int) -> Iterator[list[tuple[str, bytes]]]
         yield [(r["i"], r["t"].encode("utf-8", "surrogatepass")) for r in part.collect()]
 
 
-_SCHEMA = "n_words long, hit_starts array<int>, hit_ends array<int>, item_ids array<string>"
+_FOUND = (("n_words", LongType()), ("hit_starts", ArrayType(IntegerType())), ("hit_ends", ArrayType(IntegerType())), ("item_ids", ArrayType(StringType())))
+
+
+def _scan(rows: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
+    """rows (row, text) -> row and what of the items is found in text."""
+    index = rows.sparkSession.sparkContext.broadcast(WindowIndex(items, n))
+
+    def scan(batches):
+        for batch, texts in slices(batches):
+            counts, masks, found = index.value.scan(texts)
+            starts, ends = [], []
+            for m in masks:
+                d = np.diff(np.concatenate([[0], m.astype(np.int8), [0]]))
+                starts.append(np.nonzero(d == 1)[0].tolist())
+                ends.append(np.nonzero(d == -1)[0].tolist())
+            names = [sorted({index.value.item_ids[i] for i in f}) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
+                ["row", "n_words", "hit_starts", "hit_ends", "item_ids"],
+            )
+
+    schema = rows.select("row").schema
+    for name, kind in _FOUND:
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(scan, schema)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int, text_col: str, item_id_col: str, item_text_col: str, max_words: int) -> DataFrame:
+    """row (a struct of the columns to keep), n_words, hit_starts, hit_ends, item_ids."""
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
+    sets = _sets(_items(benchmark, item_id_col, item_text_col), max_words)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+        return _scan(rows, first, n)
+    # several sets: the rows are numbered once in the shared folder and scanned set by set; only rows with hits are written
+    numbered = written(rows.withColumn("number", F.monotonically_increasing_id()))
+    plain = numbered.select(F.struct("number").alias("row"), "text")
+    hits = None
+    for items in chain([first, second], sets):
+        got = written(_scan(plain, items, n).where(F.size("hit_starts") > 0).select("row.number", "hit_starts", "hit_ends", "item_ids"))
+        hits = got if hits is None else hits.unionByName(got)
+    merged = hits.groupBy("number").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hit_starts", "hit_ends")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    words = _scan(numbered.select(F.struct("number", "row").alias("row"), "text"), [], n).select("row.number", F.col("row.row").alias("row"), "n_words")
+    none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit_starts", "array<int>"), ("hit_ends", "array<int>"), ("item_ids", "array<string>"))]
+    return words.join(merged, "number", "left").select("row", "n_words", *none)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id_col: str = "item_id", item_text_col: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
     """`keep` columns + n_words, hit spans (word positions, end exclusive) and ids of the items found."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    kept = docs.select(*keep, F.col(text_col).alias("_scanned"))
-    field_types = ", ".join(f"`{c}` {t}" for c, t in kept.select(*keep).dtypes)
-    sets = list(_sets(_items(benchmark, item_id_col, item_text_col), max_broadcast_words)) if max_broadcast_words else []
-    scans = []
-    for items in sets:
-        index = spark.sparkContext.broadcast(WindowIndex(items, n))
-
-        def scan(batches, index=index):
-            for batch, texts in slices(batches, "_scanned"):
-                counts, masks, found = index.value.scan(texts)
-                starts, ends = [], []
-                for m in masks:
-                    d = np.diff(np.concatenate([[0], m.astype(np.int8), [0]]))
-                    starts.append(np.nonzero(d == 1)[0].tolist())
-                    ends.append(np.nonzero(d == -1)[0].tolist())
-                names = [sorted({index.value.item_ids[i] for i in f}) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in range(batch.num_columns - 1)), pa.array(counts, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                    [*batch.schema.names[:-1], "n_words", "hit_starts", "hit_ends", "item_ids"],
-                )
-
-        scans.append((kept, scan))
-    if len(scans) == 1:
-        return kept.mapInArrow(scans[0][1], f"{field_types}, {_SCHEMA}")
-    # several sets: number the rows once in the shared folder, scan them per set, merge by that number
-    from .common import checkpoint
-
-    numbered = checkpoint(kept.withColumn(_ROW, F.monotonically_increasing_id())).select(_ROW, *keep, "_scanned")
-    parts = [numbered.mapInArrow(f, f"{_ROW} long, {field_types}, {_SCHEMA}") for _, f in scans]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union.groupBy(_ROW, *keep).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hit_starts")).alias("hit_starts"),
-        F.flatten(F.collect_list("hit_ends")).alias("hit_ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    ).drop(_ROW)
+    found = _found(docs, benchmark, list(keep), n, text_col, item_id_col, item_text_col, max_broadcast_words)
+    return found.select("row.*", "n_words", "hit_starts", "hit_ends", "item_ids")
 
 
 def n_hit_words() -> F.Column:
@@ -177,8 +188,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFra
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents without any benchmark window, columns unchanged."""
-    columns = [c for c in docs.columns]
-    found = find_contamination(docs, benchmark, keep=tuple(columns), **kw)
-    return found.where(F.size("hit_starts") == 0).select(*columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_broadcast_words: int = MAX_BROADCAST_WORDS) -> DataFrame:
+    """The documents without any benchmark window, columns unchanged, whatever their names."""
+    found = _found(docs, benchmark, docs.columns, n, text_col, item_id_col, item_text_col, max_broadcast_words)
+    return found.where(F.size("hit_starts") == 0).select("row.*")

@@ -28,7 +28,7 @@ from .common import bound_batches, slices
 from .sampling import held_out, sigmoid, thinned
 
 BUCKETS, GRAMS, CHUNK = 1 << 12, (2, 3, 4), 1 << 20
-PER_LANG, MAX_ROWS, MIN_MARGIN, UNKNOWN = 400, 4000, 0.05, "und"
+PER_LANG, MAX_ROWS, MIN_MARGIN, CERTAIN, UNKNOWN = 400, 4000, 0.05, 0.99, "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII bytes that are no letters count as space.
 SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -136,32 +136,42 @@ def learn(docs: DataFrame, *, per_lang: int = PER_LANG) -> Model | None:
     return train(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float), np.array([r["lang"] for r in rows]))
 
 
-def identify(docs: DataFrame, *, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), per_lang: int = PER_LANG, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """`keep` columns + lang_pred, score, ambiguous for every row."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    model = model or learn(docs, per_lang=per_lang)
-    shared = spark.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("_scored"))
-    types = ", ".join(f"`{c}` {t}" for c, t in kept.select(*keep).dtypes)
+def _decoded(docs: DataFrame, keep: list[str], model: Model | None, min_margin: float) -> DataFrame:
+    """row (a struct of the columns to keep), lang_pred, score, ambiguous, letters (whether the text has any)."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
 
     def work(batches):
         m = shared.value
-        for batch, texts in slices(batches, "_scored"):
+        for batch, texts in slices(batches):
             lang, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            if m is not None:
-                texts = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
-                some = [i for i, t in enumerate(texts) if has_letter(t)]
-                for s in range(0, len(some), 256):
-                    part = some[s : s + 256]
-                    for i, best, share, lead in zip(part, *m.predict(np.stack([features(texts[i]) for i in part]))):
-                        lang[i], score[i], unsure[i] = m.langs[best], float(share), bool(lead < min_margin)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(batch.num_columns - 1)), pa.array(lang), pa.array(score), pa.array(unsure)], [*batch.schema.names[:-1], "lang_pred", "score", "ambiguous"])
-
-    return kept.mapInArrow(work, f"{types}, lang_pred string, score double, ambiguous boolean")
-
-
-def drop_unidentified(docs: DataFrame, **kw) -> DataFrame:
-    """The documents with a language: those without text or letters go, ambiguous ones stay. Columns unchanged."""
-    columns = docs.columns
-    return identify(docs, keep=tuple(columns), **kw).where(F.col("lang_pred") != UNKNOWN).select(*columns)
+            texts = [t.decode("utf-8", "replace") if t is not None else None for t in texts]
+            letters = [has_letter(t) for t in texts]
+            some = [i for i, yes in enumerate(letters) if yes and m is not None]
+            for s in range(0, len(some), 256):
+                part = some[s : s + 256]
+                for i, best, share, lead in zip(part, *m.predict(np.stack([features(texts[i]) for i in part]))):
+                    lang[i], score[i], unsure[i] = m.langs[best], float(share), bool(lead < min_margin)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang), pa.array(score), pa.array(unsure), pa.array(letters)], ["row", "lang_pred", "score", "ambiguous", "letters"])
+
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean").add("letters", "boolean")
+    return rows.mapInArrow(work, schema)
+
+
+def identify(docs: DataFrame, *, model: Model | None = None, keep: tuple[str, ...] = ("doc_id",), per_lang: int = PER_LANG, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """`keep` columns + lang_pred, score, ambiguous for every row."""
+    return _decoded(docs, list(keep), model or learn(docs, per_lang=per_lang), min_margin).select("row.*", "lang_pred", "score", "ambiguous")
+
+
+def drop_unidentified(docs: DataFrame, *, per_lang: int = PER_LANG, min_margin: float = MIN_MARGIN, certain: float = CERTAIN) -> DataFrame:
+    """The documents whose language is told. Columns unchanged, whatever their names.
+
+    Those go that have no text or letter, whose codeword is ambiguous, or whose own lang is another than the predicted
+    one although that has a score of at least `certain`. Without any labelled row there is no model, and all with letters stay.
+    """
+    model = learn(docs, per_lang=per_lang)
+    out = _decoded(docs, docs.columns, model, min_margin).where("letters")
+    if model is not None:
+        out = out.where(~F.col("ambiguous") & ~F.coalesce((F.col("row.lang") != F.col("lang_pred")) & (F.col("score") >= certain), F.lit(False)))
+    return out.select("row.*")
