@@ -16,7 +16,7 @@ from snapweave.llm.common import ensure_checkpoint_dir, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without text or letters have no language and go."""
+    """Documents without letters go, and those whose language the codes leave ambiguous or whose label they contradict."""
     return lang_id.drop_unidentified(docs)
 
 
