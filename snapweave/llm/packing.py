@@ -34,7 +34,7 @@ class WordIds(dict):
     A closing . or , after a letter is a token by itself (no contraction ends so).
     """
 
-    MOST = 900_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block and bytes of contents that are compared with another block in one task at a time.
-BLOCK, TILE_BYTES = 4096, 32 << 20
+BLOCK, TILE_BYTES = 4096, 16 << 20
 #: Pairs of a tile that are looked at together.
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 
 
 @dataclass(frozen=True)
