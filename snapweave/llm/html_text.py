@@ -5,12 +5,12 @@ length, the punctuation and the length inside links are summed and divided by th
 path (text ratio, punctuation ratio). Both are smoothed along the order in which paths first appear (with a
 Gaussian over neighbouring paths below the same section), fused by their product, weighted by the share of
 text outside links, and paths at or above `share` of the page's fused standard deviation are content.
-A path also counts as content if it hangs below the section (article, main, or the common ancestor) that
-holds most of the selected text: so short paragraphs and headings of the article stay.
+The other paths of that article or main (or, without one, beside or below a chosen path in the same parent) come along unless
+they are mostly links: so short paragraphs and headings of the article stay, link lists and footers don't.
 
 Never content, whatever the ratios: scripts, styles, templates, head, nav, aside, form controls, page headers
-and footers, and elements whose class, id or role names an advert, menu, notice, sidebar, share bar or
-comments. Comments in markup and tags go; character references are decoded; white space inside a block becomes
+and footers. Elements whose class, id or role names an advert, menu, notice, sidebar, share bar or
+comments aren't either, unless they hold nearly all of the chosen text. Comments in markup and tags go; character references are decoded; white space inside a block becomes
 one space, blocks are trimmed, empty ones left out, and the rest joined in page order by one newline.
 
 Everything about one page is found in one row, so pages need no shuffle; pages are processed by the batch.
@@ -41,6 +41,9 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner banners promo promotion sponsor sponsored menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars cookie cookies consent notice notices newsletter subscribe signup popup modal overlay share sharing social comment comments respond replies disqus footer header masthead related recommended toolbar pagination pager login search widget complementary contentinfo".split())
 SECTIONS = frozenset("article main".split())
 
+#: Share of the chosen text from which an element is kept whatever its names.
+OVERRULED = 0.9
+
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)>|<[!?/][^>]*>", re.S)
 MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…。、，！？；：]")
@@ -51,23 +54,27 @@ WORDS = re.compile(r"[a-z]+")
 class Block:
     path: tuple[str, ...]
     dropped: bool
+    named: tuple[int, ...] = ()
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def is_noise(name: str, attributes: str, inside: list[str]) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header" and not SECTIONS & set(inside):
-        return True
+def is_dropped(name: str, inside: list[str]) -> bool:
+    """Elements that are never content."""
+    return name in DROPPED or (name == "header" and not SECTIONS & set(inside))
+
+
+def is_noise(name: str, attributes: str) -> bool:
+    """Elements whose class, id or role names something else than content."""
     if "=" not in attributes or name in ("html", "body", "article", "main"):
         return False
     return any(NOISE.intersection(WORDS.findall((a or b or c).lower())) for _, a, b, c in MARKS.findall(attributes))
 
 
 def blocks_of(html: str) -> list[Block]:
-    """Blocks in page order; each with its tag path of block-level elements and whether a noise element holds it."""
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is (inside) noise
+    """Blocks in page order; each with its tag path of block-level elements, whether it is in a dropped element, and the numbers of the noise elements that hold it."""
+    stack: list[tuple[str, bool, tuple[int, ...]]] = []  # open elements, whether each is (inside) a dropped one, and its noise elements
+    noisy = 0
     out: list[Block] = []
     block: Block | None = None
     links, at, size = 0, 0, len(html)
@@ -79,7 +86,7 @@ def blocks_of(html: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            block = Block(tuple(n for n, _ in stack if n not in INLINE), bool(stack and stack[-1][1]))
+            block = Block(tuple(n for n, _, _ in stack if n not in INLINE), bool(stack and stack[-1][1]), stack[-1][2] if stack else ())
             out.append(block)
         block.text.append(text)
         if links:
@@ -102,15 +109,15 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if m["close"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is None or (name in INLINE and any(n not in INLINE for n, _ in stack[depth:])):
+            if depth is None or (name in INLINE and any(n not in INLINE for n, _, _ in stack[depth:])):
                 continue
-            if any(n not in INLINE for n, _ in stack[depth:]):
+            if any(n not in INLINE for n, _, _ in stack[depth:]):
                 block = None
             del stack[depth:]
         else:
             if name in ENDS_P:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if depth is not None and all(n in INLINE or n == "p" for n, _ in stack[depth:]):
+                if depth is not None and all(n in INLINE or n == "p" for n, _, _ in stack[depth:]):
                     del stack[depth:]
             if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(name, ("table",))
@@ -125,17 +132,20 @@ def blocks_of(html: str) -> list[Block]:
                 block = None
             if name in VOID:
                 continue
-            noise = bool(stack and stack[-1][1]) or is_noise(name, m["attributes"] or "", [n for n, _ in stack])
+            dropped = bool(stack and stack[-1][1]) or is_dropped(name, [n for n, _, _ in stack])
+            named = stack[-1][2] if stack else ()
+            if not dropped and is_noise(name, m["attributes"] or ""):
+                named, noisy = (*named, noisy), noisy + 1
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else size
                 block = None
                 continue
-            stack.append((name, noise))
-            if noise and name in INLINE:  # an inline advert or share link is a block of its own
+            stack.append((name, dropped, named))
+            if (dropped or named) and name in INLINE:  # an inline advert or share link is a block of its own
                 block = None
-        links = sum(n == "a" for n, _ in stack)
-        if block is not None and bool(stack and stack[-1][1]) != block.dropped:
+        links = sum(n == "a" for n, _, _ in stack)
+        if block is not None and (bool(stack and stack[-1][1]), stack[-1][2] if stack else ()) != (block.dropped, block.named):
             block = None
     return out
 
@@ -150,44 +160,68 @@ def smooth(values: np.ndarray, sections: list[tuple[str, ...]], sigma: float = 1
     return out
 
 
-def content_paths(blocks: list[Block], share: float) -> set[tuple[str, ...]]:
-    """The tag paths whose smoothed and fused text and punctuation ratios pass."""
-    paths: dict[tuple[str, ...], np.ndarray] = {}
-    for b in blocks:
-        text = "".join(b.text)
-        paths.setdefault(b.path, np.zeros(4))[:] += (1, len(text.strip()), len(PUNCTUATION.findall(text)), b.linked)
-    if not paths:
-        return set()
-    names, m = list(paths), np.array(list(paths.values()))
-    sections = [n[:-1] for n in names]
-    text, marks = smooth(m[:, 1] / m[:, 0], sections), smooth(m[:, 2] / m[:, 0], sections)
-    fused = np.sqrt(text * (marks + 1)) * np.clip(1 - m[:, 3] / np.maximum(m[:, 1], 1), 0, 1)
-    good = fused >= min(share * fused.std(), fused.max())
-    good &= fused > 0
-    chosen = {n for n, g in zip(names, good) if g}
-    if not chosen:
-        return set()
-    # the section that holds most of the selected text takes its short paths along
-    weight: dict[tuple[str, ...], float] = {}
-    for n, row in zip(names, m):
-        if n in chosen:
-            for d in range(len(n) + 1):
-                weight[n[:d]] = weight.get(n[:d], 0) + row[1]
-    total = weight.get((), 0)
-    named = [p for p in weight if p and p[-1] in SECTIONS and weight[p] >= 0.5 * total]
-    if named:
-        home = min(named, key=len)
-        return {n for n in names if n[: len(home)] == home}
-    whole = max((p for p in weight if weight[p] >= total), key=len)
-    linky = {n for n, row in zip(names, m) if row[3] > 0.5 * max(row[1], 1)}
-    return chosen | {n for n in names if whole and n[: len(whole)] == whole and n not in linky}
-
-
-def main_text(html: str | None, share: float = 0.5) -> str:
+@dataclass
+class Paths:
+    """The tag paths of some blocks with their sums and which of them the ratios choose."""
+
+    names: list[tuple[str, ...]]
+    length: np.ndarray
+    linked: np.ndarray
+    good: np.ndarray
+
+    @classmethod
+    def of(cls, blocks: list[Block], share: float) -> "Paths":
+        sums: dict[tuple[str, ...], np.ndarray] = {}
+        for b in blocks:
+            text = "".join(b.text)
+            sums.setdefault(b.path, np.zeros(4))[:] += (1, len(text.strip()), len(PUNCTUATION.findall(text)), b.linked)
+        names, m = list(sums), np.array(list(sums.values())).reshape(-1, 4)
+        sections = [n[:-1] for n in names]
+        text, marks = smooth(m[:, 1] / m[:, 0], sections), smooth(m[:, 2] / m[:, 0], sections)
+        fused = np.sqrt(text * (marks + 1)) * np.clip(1 - m[:, 3] / np.maximum(m[:, 1], 1), 0, 1)
+        good = (fused >= min(share * fused.std(), fused.max())) & (fused > 0) if names else np.zeros(0, bool)
+        return cls(names, m[:, 1], m[:, 3], good)
+
+    def content(self) -> set[tuple[str, ...]]:
+        """The chosen paths of the section that holds most of the chosen text, and with them what is short but stands among them.
+
+        The section is an article or main if one holds half of the chosen text; else the chosen paths count wherever they are.
+        Other paths come along if they are not mostly links and lie in that article or main, or beside or below a chosen
+        path, in the same parent element.
+        """
+        chosen = {n for n, g in zip(self.names, self.good) if g}
+        plain = {n for n, x, links in zip(self.names, self.length, self.linked) if links <= 0.5 * max(x, 1)}
+        weight: dict[tuple[str, ...], float] = {}
+        for n, x in zip(self.names, self.length):
+            if n in chosen:
+                for d in range(len(n) + 1):
+                    weight[n[:d]] = weight.get(n[:d], 0) + x
+        total = weight.get((), 0)
+        homes = [p for p in weight if p and p[-1] in SECTIONS and weight[p] >= 0.5 * total]
+        if homes:
+            home = min(homes, key=len)
+            return {n for n in self.names if n[: len(home)] == home and (n in chosen or n in plain)}
+        parents = {n[:-1] for n in chosen if weight[n[:-1]] >= 0.5 * total and len(n) > 1}
+        return chosen | {n for n in plain if any(len(n) > len(p) and n[: len(p)] == p for p in parents)}
+
+
+def main_text(html: str | None, share: float = 0.5, words: bool = True) -> str:
+    """words: whether class, id and role names count against an element."""
     if not html:
         return ""
     blocks = [b for b in blocks_of(html) if not b.dropped]
-    good = content_paths(blocks, share)
+    if words and any(b.named for b in blocks):
+        # a name can't drop an element that holds nearly all text that the ratios choose
+        paths = Paths.of(blocks, share)
+        good, held, total = {n for n, g in zip(paths.names, paths.good) if g}, {}, 0
+        for b in blocks:
+            if b.path in good:
+                n = sum(map(len, b.text))
+                total += n
+                for k in b.named:
+                    held[k] = held.get(k, 0) + n
+        blocks = [b for b in blocks if all(held.get(k, 0) >= OVERRULED * total > 0 for k in b.named)]
+    good = Paths.of(blocks, share).content()
     lines = (" ".join("".join(b.text).split()) for b in blocks if b.path in good)
     return "\n".join(x for x in lines if x)
 

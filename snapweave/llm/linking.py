@@ -81,6 +81,8 @@ def connect(keyed: DataFrame, nodes: DataFrame, *, words: int, gate: Gate, conte
     def links(rows: DataFrame) -> DataFrame:
         rows = rows if "lead" in rows.columns else rows.withColumn("lead", F.col("tile"))
         rows = deal(rows.withColumnRenamed("tile", "key"), F.col("size") * unit, tile_bytes)
+        heavy = rows.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block // 4).select("lead", F.lit(True).alias("heavy"))
+        rows = rows.join(heavy, "lead", "left").withColumn("lead", F.when(F.col("heavy"), F.col("tile")).otherwise(F.col("lead"))).drop("heavy")
         return checkpoint(settle(rows, contents(rows.select("id").distinct()), same, gate).distinct())
 
     stars = _stars(mates, nodes, words, gate, block)

@@ -72,3 +72,35 @@ def test_pages_table(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x", "t"), (2, "u", "<div>" * 3000 + "deep", "t")], "page_id long, url string, html string, text string")
     assert sorted(r["text"] for r in html_text.extract(odd).collect()) == ["", "", "deep", "x"]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_ratios_choose_without_names():
+    """Clutter whose names say nothing goes, an article within an element with a misleading name stays."""
+    from snapweave.llm.html_text import main_text
+
+    article = "<h1>Title</h1>" + "".join(f"<p>Sentence {i} of the article, with a few more words, and a point. Another one; it goes on.</p>" for i in range(5))
+    text = main_text(f"<article>{article}</article>")
+    assert text.count("\n") == 5 and text.startswith("Title\n")
+    links = "<div class='x1'><ul><li><a href='/'>Home</a></li><li><a href='/s'>Shop now</a></li><li><a href='/i'>Sign in</a></li></ul></div>"
+    for html in (
+        f"<body><article>{article}{links}</article></body>",
+        f"<body>{links}<div class='x7'>{article}</div><div class='x2'>2024 Some Company</div></body>",
+        f"<body><div class='menu-planner'>{article}</div></body>",
+        f"<body><div class='post has-sidebar'>{article}</div><div class='sidebar'>Other news here</div></body>",
+        f"<body><div id='a'>{links}</div><main class='related-work'><section class='header-fixed'>{article}</section></main></body>",
+    ):
+        assert main_text(html) == text, html
+
+
+def test_word_list_is_not_needed(sf_dir):
+    import pyarrow.parquet as pq
+
+    from snapweave.llm.html_text import main_text
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()
+    both = kept = all_ = 0
+    for html in pages:
+        a, b = set(main_text(html).split("\n")), set(main_text(html, words=False).split("\n"))
+        both, kept, all_ = both + len(a & b), kept + len(b), all_ + len(a)
+    print("word list off: precision", both / kept, "recall", both / all_)
+    assert both >= 0.99 * kept and both >= 0.99 * all_
