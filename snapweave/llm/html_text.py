@@ -168,6 +168,7 @@ class Paths:
     length: np.ndarray
     linked: np.ndarray
     good: np.ndarray
+    strong: np.ndarray
 
     @classmethod
     def of(cls, blocks: list[Block], share: float) -> "Paths":
@@ -180,12 +181,12 @@ class Paths:
         text, marks = smooth(m[:, 1] / m[:, 0], sections), smooth(m[:, 2] / m[:, 0], sections)
         fused = np.sqrt(text * (marks + 1)) * np.clip(1 - m[:, 3] / np.maximum(m[:, 1], 1), 0, 1)
         good = (fused >= min(share * fused.std(), fused.max())) & (fused > 0) if names else np.zeros(0, bool)
-        return cls(names, m[:, 1], m[:, 3], good)
+        return cls(names, m[:, 1], m[:, 3], good, good & (fused >= 0.5 * fused.max(initial=0)))
 
     def content(self) -> set[tuple[str, ...]]:
         """The chosen paths of the section that holds most of the chosen text, and with them what is short but stands among them.
 
-        The section is an article or main if one holds half of the chosen text; else the chosen paths count wherever they are.
+        The section is an article or main if one holds half of the chosen text; else the parents of chosen paths that do, and strongly chosen paths elsewhere.
         Other paths come along if they are not mostly links and lie in that article or main, or beside or below a chosen
         path, in the same parent element.
         """
@@ -202,7 +203,11 @@ class Paths:
             home = min(homes, key=len)
             return {n for n in self.names if n[: len(home)] == home and (n in chosen or n in plain)}
         parents = {n[:-1] for n in chosen if weight[n[:-1]] >= 0.5 * total and len(n) > 1}
-        return chosen | {n for n in plain if any(len(n) > len(p) and n[: len(p)] == p for p in parents)}
+        parents = {p for p in parents if not any(q != p and q[: len(p)] == p for q in parents)}
+        if not parents:
+            return chosen
+        strong = {n for n, g in zip(self.names, self.strong) if g}
+        return strong | {n for n in chosen | plain if any(len(n) > len(p) and n[: len(p)] == p for p in parents)}
 
 
 def main_text(html: str | None, share: float = 0.5, words: bool = True) -> str:

@@ -164,13 +164,13 @@ def identify(docs: DataFrame, *, model: Model | None = None, keep: tuple[str, ..
     return _decoded(docs, list(keep), model or learn(docs, per_lang=per_lang), min_margin).select("row.*", "lang_pred", "score", "ambiguous")
 
 
-def drop_unidentified(docs: DataFrame, *, per_lang: int = PER_LANG, min_margin: float = MIN_MARGIN, certain: float = CERTAIN) -> DataFrame:
+def drop_unidentified(docs: DataFrame, *, model: Model | None = None, per_lang: int = PER_LANG, min_margin: float = MIN_MARGIN, certain: float = CERTAIN) -> DataFrame:
     """The documents whose language is told. Columns unchanged, whatever their names.
 
     Those go that have no text or letter, whose codeword is ambiguous, or whose own lang is another than the predicted
     one although that has a score of at least `certain`. Without any labelled row there is no model, and all with letters stay.
     """
-    model = learn(docs, per_lang=per_lang)
+    model = model or learn(docs, per_lang=per_lang)
     out = _decoded(docs, docs.columns, model, min_margin).where("letters")
     if model is not None:
         out = out.where(~F.col("ambiguous") & ~F.coalesce((F.col("row.lang") != F.col("lang_pred")) & (F.col("score") >= certain), F.lit(False)))

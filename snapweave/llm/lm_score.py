@@ -32,7 +32,8 @@ from .common import bound_batches, checkpoint, groups, slices, word_hashes
 
 CLASSES, MEMBERS, HASHED, SIDE, WIDTH = 32, 32, 64, 2, 16
 SIZE = CLASSES * MEMBERS
-BATCH, RATE, STRIDE, ROUNDS, CHUNK = 256, 0.05, 1, 2, 1 << 15
+#: Positions of a mini-batch, AdaGrad's step, every how many-th position is trained on, rounds, positions scored together.
+BATCH, RATE, STRIDE, ROUNDS, CHUNK = 1024, 0.1, 1, 2, 1 << 15
 
 
 class Ids:
@@ -60,6 +61,7 @@ class Network:
     hidden: np.ndarray  # (WIDTH,)
     classes: np.ndarray  # (WIDTH + 1, CLASSES), the last row the biases
     members: np.ndarray  # (CLASSES, WIDTH + 1, MEMBERS), the last row the biases
+    squares: "Network | None" = None  # while training: sums of squared slopes
 
     SHAPES = ((2 * SIDE, SIZE + 1, WIDTH), (WIDTH,), (WIDTH + 1, CLASSES), (CLASSES, WIDTH + 1, MEMBERS))
 
@@ -106,9 +108,18 @@ class Network:
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
-        """Mini-batch gradient steps on the positions `at`, in their order."""
+        """Mini-batch AdaGrad steps on the positions `at`, in their order."""
+        if self.squares is None:
+            self.squares = Network(*(np.full(p.shape, 1e-4, np.float32) for p in (self.places, self.hidden, self.classes, self.members)))
+        past = self.squares
+
+        def step(value: np.ndarray, square: np.ndarray, slope: np.ndarray) -> None:
+            square += slope * slope
+            value -= rate * slope / np.sqrt(square)
+
         for s in range(0, len(at), BATCH):
             part = at[s : s + BATCH]
+            part = part[np.argsort((ids[part] // MEMBERS).astype(np.uint8), kind="stable")]  # by class
             h, around = self.state(ids, part)
             n, group, member = len(part), ids[part] // MEMBERS, ids[part] % MEMBERS
             one = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)
@@ -117,22 +128,27 @@ class Network:
             z /= z.sum(axis=1, keepdims=True)
             z[np.arange(n), group] -= 1
             back = z @ self.classes[:-1].T
-            mine = self.members[group]  # (n, WIDTH + 1, MEMBERS)
-            y = np.einsum("nw,nwm->nm", one, mine)
-            y = np.exp(y - y.max(axis=1, keepdims=True))
-            y /= y.sum(axis=1, keepdims=True)
-            y[np.arange(n), member] -= 1
-            back += np.einsum("nm,nwm->nw", y, mine[:, :-1])
+            step(self.classes, past.classes, one.T @ z)
+            edges = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+            for c, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                if i < j:
+                    m = self.members[c]
+                    y = one[i:j] @ m
+                    y = np.exp(y - y.max(axis=1, keepdims=True))
+                    y /= y.sum(axis=1, keepdims=True)
+                    y[np.arange(j - i), member[i:j]] -= 1
+                    back[i:j] += y @ m[:-1].T
+                    step(m, past.members[c], one[i:j].T @ y)
             back *= 1 - h * h
-            self.classes -= rate / n * 16 * (one.T @ z)
-            order = np.argsort(group, kind="stable")
-            edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-            for c in np.unique(group):
-                rows = order[edges[c] : edges[c + 1]]
-                self.members[c] -= rate / n * 16 * (one[rows].T @ y[rows])
-            self.hidden -= rate / n * 16 * back.sum(axis=0)
+            step(self.hidden, past.hidden, back.sum(axis=0))
             for k, ctx in enumerate(around):
-                np.add.at(self.places[k], ctx, -rate / n * 16 * back)
+                order = np.argsort(ctx.astype(np.uint16), kind="stable")
+                ctx = ctx[order]
+                first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+                slope = np.add.reduceat(back[order], first, axis=0)
+                square = past.places[k][ctx[first]] + slope * slope
+                past.places[k][ctx[first]] = square
+                self.places[k][ctx[first]] -= rate * slope / np.sqrt(square)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
