@@ -33,7 +33,7 @@ from .common import bound_batches, checkpoint, groups, slices, word_hashes
 CLASSES, MEMBERS, HASHED, SIDE, WIDTH = 32, 32, 64, 2, 16
 SIZE = CLASSES * MEMBERS
 #: Positions of a mini-batch, AdaGrad's step, every how many-th position is trained on, rounds, positions scored together.
-BATCH, RATE, STRIDE, ROUNDS, CHUNK = 1024, 0.1, 1, 2, 1 << 15
+BATCH, RATE, STRIDE, ROUNDS, CHUNK = 2048, 0.1, 1, 2, 1 << 15
 
 
 class Ids:
@@ -55,6 +55,15 @@ class Ids:
         return out, n.astype(np.int64)
 
 
+def chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of every row at one place."""
+    own = z[np.arange(len(z)), at]
+    z -= own[:, None]
+    top = z.max(axis=1)
+    z -= top[:, None]
+    return -top - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 @dataclass
 class Network:
     places: np.ndarray  # (2 * SIDE, SIZE + 1, WIDTH)
@@ -84,27 +93,24 @@ class Network:
 
     def state(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         around = [ids[at + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]
-        h = np.tile(self.hidden, (len(at), 1))
-        for k, c in enumerate(around):
+        h = self.places[0][around[0]]
+        for k, c in enumerate(around[1:], 1):
             h += self.places[k][c]
-        return np.tanh(h), around
+        h += self.hidden
+        return np.tanh(h, out=h), around
 
     def log_probs(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log p(ids[at] | both sides)."""
         h, _ = self.state(ids, at)
         out = np.empty(len(at))
         group, member = ids[at] // MEMBERS, ids[at] % MEMBERS
-        z = h @ self.classes[:-1] + self.classes[-1]
-        top = z.max(axis=1)
-        out[:] = z[np.arange(len(at)), group] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        out[:] = chosen(h @ self.classes[:-1] + self.classes[-1], group)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
-                z = h[rows] @ self.members[c, :-1] + self.members[c, -1]
-                top = z.max(axis=1)
-                out[rows] += z[np.arange(len(rows)), member[rows]] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+                out[rows] += chosen(h[rows] @ self.members[c, :-1] + self.members[c, -1], member[rows])
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
@@ -215,14 +221,18 @@ def within_buckets(docs: DataFrame, words: np.ndarray, counted: DataFrame) -> Da
         for _, texts in slices(batches):
             for a, b in groups(texts):
                 h, n = word_hashes(texts[a:b])
-                out = h[~np.isin(h, words)]
-                owner = np.repeat(np.arange(len(n)), n)[~np.isin(h, words)]
+                rare = np.flatnonzero(words[np.minimum(np.searchsorted(words, h), len(words) - 1)] != h) if len(words) else np.arange(len(h))
+                out, owner = h[rare], np.repeat(np.arange(len(n)), n)[rare]
                 order = np.lexsort((out, owner))
                 out, owner = out[order], owner[order]
                 new = np.flatnonzero(np.append(True, (out[1:] != out[:-1]) | (owner[1:] != owner[:-1]))) if len(out) else np.zeros(0, int)
                 keys = np.array([key_of(t) for t in texts[a:b]], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([keys, keys[owner[new]]])), pa.array([*[None] * len(n), *out[new].view(np.int64).tolist()], pa.int64()), pa.array(np.concatenate([np.ones(len(n), np.int64), np.diff(np.append(new, len(out)))]))],
+                    [
+                        pa.array(np.concatenate([keys, keys[owner[new]]])),
+                        pa.array(np.concatenate([np.zeros(len(n), np.int64), out[new].view(np.int64)]), mask=np.arange(len(n) + len(new)) < len(n)),
+                        pa.array(np.concatenate([np.ones(len(n), np.int64), np.diff(np.append(new, len(out)))])),
+                    ],
                     ["key", "word", "times"],
                 )
 
