@@ -155,3 +155,46 @@ def sampled_events(rows: DataFrame, key: str, order: str, every: int = 15) -> Da
     """The first file of each key and every 15th after."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order))
     return rows.withColumn("n", n).where((F.col("n") == 1) | (F.col("n") % every == 0))
+
+
+def clear_recovered(agents: DataFrame) -> DataFrame:
+    """agents (state, message, last_error) after a heartbeat that went through, + cleared: lost connections are no longer
+    true, nor is a refused enrolment; other errors (a quota) stay."""
+    lost = is_connectivity(F.col("last_error"))
+    failed = F.coalesce(F.col("state") == "error", F.lit(False))
+    line = failed & is_connectivity(F.col("message"))
+    over = line | (failed & F.coalesce(F.contains("message", F.lit("no longer authorised")), F.lit(False)))
+    return agents.withColumns({
+        "state": F.when(over, "idle").otherwise(F.col("state")), "message": F.when(over, "").otherwise(F.col("message")),
+        "last_error": F.when(lost | line, "").otherwise(F.col("last_error")), "cleared": lost | over,
+    })
+
+
+_OWNED = ["account_id", "device_id"]
+
+
+def create_devices(devices: DataFrame, new: DataFrame) -> DataFrame:
+    """devices and those of `new` (the same columns but state) whose id is not taken; they start idle."""
+    fresh = new.dropDuplicates(["device_id"]).join(devices.select("device_id"), "device_id", "left_anti")
+    return devices.unionByName(fresh.withColumn("state", F.lit("idle")), allowMissingColumns=True)
+
+
+def rename_devices(devices: DataFrame, requests: DataFrame, most: int = 128) -> DataFrame:
+    """devices with the names of requests (account_id, device_id, name) by their owner, cut to `most` bytes; of several the greatest."""
+    asked = requests.groupBy(*_OWNED).agg(F.max("name").alias("_asked"))
+    return devices.join(asked, _OWNED, "left").withColumn("name", F.coalesce(cut_bytes(F.col("_asked"), most), "name")).select(*devices.columns)
+
+
+def revoke_devices(devices: DataFrame, requests: DataFrame) -> DataFrame:
+    """devices with those of requests (account_id, device_id) by their owner revoked; what they stored stays."""
+    asked = requests.select(*_OWNED, F.lit(True).alias("_asked")).distinct()
+    out = devices.join(asked, _OWNED, "left").withColumn("revoked", F.coalesce("_asked", "revoked"))
+    if "state" in devices.columns:
+        out = out.withColumn("state", F.when(F.col("_asked"), "revoked").otherwise(F.col("state")))
+    return out.select(*devices.columns)
+
+
+def delete_devices(devices: DataFrame, requests: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """devices without those of requests by their owner, and each table (device_id) without their rows."""
+    gone = devices.join(requests.select(*_OWNED).distinct(), _OWNED, "left_semi").select("device_id")
+    return [t.join(gone, "device_id", "left_anti") for t in (devices, *tables)]

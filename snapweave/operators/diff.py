@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rules
+
 
 def scan_diff(scan: DataFrame, index: DataFrame) -> DataFrame:
     """path, status: new, changed, unchanged or deleted.
@@ -60,3 +62,25 @@ def roots_diff(configured: DataFrame, known: DataFrame) -> DataFrame:
     """path, status of folder roots: new or dropped."""
     a, b = configured.select("path"), known.select("path")
     return a.join(b, "path", "left_anti").select("path", F.lit("new").alias("status")).unionByName(b.join(a, "path", "left_anti").select("path", F.lit("dropped").alias("status")))
+
+
+def event_filter(events: DataFrame, roots: DataFrame, present: DataFrame, platform: str = "linux", **rules_of) -> DataFrame:
+    """Change events worth a backup: events (path, ops array<string>, ...), roots (root, name), present (path, is_dir:
+    what exists now) -> the events' columns but ops, with root, removed and is_dir.
+
+    Dropped are events that are only chmod, those outside every root or in a system location, and paths the rules
+    skip (`rules_of` are arguments of rules.decide). A removed or renamed path is removed unless it exists.
+    An event without ops or path tells nothing and is dropped.
+    """
+    real = events.where((F.size("ops") > 0) & (F.array_distinct("ops") != F.array(F.lit("chmod"))))
+    held = rules.system_paths(rules.root_for(real.select("path").distinct(), roots)).where("NOT outside").select("path", "root")
+    seen = present.select("path", "is_dir", F.lit(True).alias("here")).dropDuplicates(["path"])
+    below = held.join(seen, "path", "left").select(
+        F.col("path").alias("absolute"), "root", F.substr("path", F.length("root") + 2).alias("path"),
+        F.coalesce("is_dir", F.lit(False)).alias("is_dir"), F.coalesce("here", F.lit(False)).alias("here"))
+    # a name may be a file below one root and a directory below another: one verdict for each kind
+    decided = [rules.decide(below.where(F.col("is_dir") == F.lit(kind)), **rules_of) for kind in (False, True)]
+    kept = decided[0].unionByName(decided[1]).where("NOT skip").select(F.col("absolute").alias("path"), "root", "is_dir", "here")
+    removed = (F.array_contains("ops", "remove") | F.array_contains("ops", "rename")) & ~F.col("here")
+    columns = [events[c] for c in events.columns if c not in ("path", "ops", "root", "is_dir", "removed", "here")]
+    return real.join(kept, "path").select("path", *columns, kept["root"], removed.alias("removed"), kept["is_dir"])

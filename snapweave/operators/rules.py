@@ -238,6 +238,11 @@ def skip_reasons(decided: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def root_for(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """paths (path), roots (root, name; a handful) -> path, root, name: the most specific root that holds the path."""
-    held = paths.join(F.broadcast(roots), (F.col("path") == F.col("root")) | F.startswith("path", F.concat("root", F.lit("/"))))
-    return held.groupBy("path").agg(F.max_by(F.struct("root", "name"), F.length("root")).alias("b")).select("path", "b.root", "b.name")
+    """paths (path), roots (root, name) -> path, root, name: the most specific root that holds the path.
+
+    Every path asks for its ancestors, so this is an equi join at any number of roots.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    held = paths.select("path", F.explode(above).alias("root")).join(roots.select("root", "name"), "root")
+    return held.groupBy("path").agg(F.max_by(F.struct("root", "name"), F.struct(F.length("root"), "name")).alias("b")).select("path", "b.root", "b.name")

@@ -139,3 +139,14 @@ def count_rows(tables: dict[str, DataFrame], name: str) -> int:
     if name not in tables:
         raise ValueError(f"no table {name!r}")
     return tables[name].count()
+
+
+def pin_snapshots(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+    """snapshots with the pins of requests (account_id, snapshot_id, pinned) by their owner; of several a set pin wins."""
+    asked = requests.groupBy("account_id", "snapshot_id").agg(F.max("pinned").alias("_asked"))
+    return snapshots.join(asked, ["account_id", "snapshot_id"], "left").withColumn("pinned", F.coalesce("_asked", "pinned")).select(*snapshots.columns)
+
+
+def delete_chunks(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """chunks without the rows of gone (digest), once their bytes are deleted."""
+    return chunks.join(gone.select("digest"), "digest", "left_anti")

@@ -244,17 +244,78 @@ query("human_bytes", "SELECT n_nationkey AS k, CASE WHEN n_nationkey = 0 THEN '0
 query("parse_bytes", "SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN CAST(n_nationkey AS BIGINT) * 1048576 WHEN 1 THEN CAST(n_nationkey AS BIGINT) * 1000 END AS bytes FROM {nation}")(
     lambda t: t("nation").select(F.col("n_nationkey").alias("k"), text.parse_bytes(F.concat(F.col("n_nationkey").cast("string"), F.element_at(F.array(F.lit(" MiB"), F.lit("kb"), F.lit(" apples")), F.col("n_nationkey") % 3 + 1))).alias("bytes")))
 
-# --- sequences and content (no SQL form) -------------------------------------------------------------------
-
-query("attempt_limiter")(lambda t: folds.attempt_limiter(t("events").select(F.col("event_id").alias("attempt_id"), (F.col("user_id") % 3).alias("key"), F.col("ts").alias("at")), limit=3).select("attempt_id", "allowed"))
-query("token_bucket")(lambda t: folds.token_bucket(t("events").select(F.col("event_id").alias("transfer_id"), (F.col("user_id") % 10).alias("key"), F.col("ts").alias("at"), (F.col("value") * 10000).cast("long").alias("bytes")), 1000.0).select("transfer_id", "sent_at_us"))
-query("quota_gate")(lambda t: folds.quota_gate(t("events").select(F.col("event_id").alias("upload_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("value").cast("long").alias("bytes"), F.lit(200).cast("long").alias("quota_bytes")), size="bytes").select("upload_id", "accepted", "used_before"))
-query("change_batches")(lambda t: folds.change_batches(_changes(t), seconds=900).select("change_id", "batch"))
+# --- device and store updates, events of a watcher -----------------------------------------------------------
+
+_asked = lambda t, n: t("devices").select("device_id", (F.col("account_id") + F.when(F.col("device_id") % n == 0, 0).otherwise(1)).alias("account_id"), F.concat(F.lit("new "), F.col("name")).alias("name"))
+query("devices_renamed", "SELECT device_id, CASE WHEN device_id % 3 = 0 THEN CONCAT('new ', name) ELSE name END AS name FROM {devices}")(
+    lambda t: devices.rename_devices(t("devices"), _asked(t, 3)).select("device_id", "name"))
+query("devices_revoked", "SELECT device_id, name, revoked OR device_id % 4 = 0 AS revoked FROM {devices}")(
+    lambda t: devices.revoke_devices(t("devices"), _asked(t, 4)).select("device_id", "name", "revoked"))
+query("devices_deleted", "SELECT d.device_id, COUNT(s.snapshot_id) AS snapshots FROM {devices} d JOIN {snapshots} s ON s.device_id = d.device_id WHERE d.device_id % 5 <> 0 GROUP BY d.device_id")(
+    lambda t: (lambda left: left[0].select("device_id").join(left[1], "device_id").groupBy("device_id").agg(F.count("snapshot_id").alias("snapshots")))(devices.delete_devices(t("devices"), _asked(t, 5), t("snapshots"))))
+query("snapshots_pinned", "SELECT snapshot_id, pinned OR snapshot_id % 6 = 0 AS pinned FROM {snapshots}")(
+    lambda t: store.pin_snapshots(t("snapshots"), t("snapshots").select("snapshot_id", (F.col("account_id") + F.when(F.col("snapshot_id") % 6 == 0, 0).otherwise(1)).alias("account_id"), F.lit(True).alias("pinned"))).select("snapshot_id", "pinned"))
+query("chunk_rows_deleted", "SELECT digest, stored_bytes FROM {chunks} WHERE digest % 7 <> 0")(
+    lambda t: store.delete_chunks(t("chunks"), t("chunks").where("digest % 7 = 0")).select("digest", "stored_bytes"))
+query("errors_cleared", """SELECT heartbeat_id, CASE WHEN heartbeat_id % 3 = 0 AND heartbeat_id % 5 < 2 THEN 'idle' WHEN heartbeat_id % 3 = 0 THEN 'error' ELSE 'idle' END AS state,
+CASE WHEN heartbeat_id % 3 = 0 AND heartbeat_id % 5 < 2 THEN '' ELSE CASE heartbeat_id % 5 WHEN 0 THEN 'Dial TCP: lookup x' WHEN 1 THEN 'device is no longer authorised' ELSE 'quota' END END AS message,
+CASE WHEN heartbeat_id % 4 = 0 OR (heartbeat_id % 3 = 0 AND heartbeat_id % 5 = 0) THEN '' ELSE last_error END AS last_error, heartbeat_id % 4 = 0 OR (heartbeat_id % 3 = 0 AND heartbeat_id % 5 < 2) AS cleared FROM {heartbeats}""")(
+    lambda t: devices.clear_recovered(t("heartbeats").select("heartbeat_id", F.when(F.col("heartbeat_id") % 3 == 0, "error").otherwise("idle").alias("state"), F.when(F.col("heartbeat_id") % 5 == 0, "Dial TCP: lookup x").when(F.col("heartbeat_id") % 5 == 1, "device is no longer authorised").otherwise("quota").alias("message"), "last_error")))
+query("event_filter", """SELECT event_id, CONCAT('/home/u', CAST(user_id % 3 AS STRING), '/docs/f', CAST(event_id % 11 AS STRING), '.txt') AS path, CONCAT('/home/u', CAST(user_id % 3 AS STRING)) AS root,
+event_id % 5 IN (1, 2) AND NOT (user_id % 3 = 0 AND event_id % 11 < 5) AS removed, FALSE AS is_dir FROM {events} WHERE event_id % 5 <> 0 AND user_id % 3 < 2 AND event_id % 7 <> 0""")(
+    lambda t: diff.event_filter(_watched(t), t("region").where("r_regionkey < 2").select(F.concat(F.lit("/home/u"), F.col("r_regionkey").cast("string")).alias("root"), F.col("r_name").alias("name")), _watched(t).where("path RLIKE '^/home/u0/docs/f[0-4][.]txt$'").select("path", F.lit(False).alias("is_dir"))))
+query("text_forms", """SELECT n_nationkey AS k, CONCAT(LOWER(n_name), '@x.org') AS email, n_nationkey % 2 = 0 AS digest, CONCAT('AB1', CAST(n_nationkey AS STRING)) AS code, CAST(n_nationkey AS BIGINT) * 1000 AS millis,
+n_nationkey % 3 AS digests, CONCAT('my-docs-', CAST(n_nationkey AS STRING)) AS slug, n_nationkey % 2 = 0 AS overlaps, CONCAT('a-b', CAST(n_nationkey AS STRING), '-2024-03-05-0607.zip') AS archive, CONCAT(CAST(n_nationkey + 1 AS STRING), ',000') AS counted, CONCAT('f', CAST(n_nationkey AS STRING)) AS below FROM {nation}""")(
+    lambda t: _forms(t))
+
+
+def _watched(t) -> DataFrame:
+    """Events of a watcher: every kind of operation, ignored paths and paths outside the roots."""
+    home = F.concat(F.lit("/home/u"), (F.col("user_id") % 3).cast("string"))
+    path = F.when(F.col("event_id") % 7 == 0, F.concat(home, F.lit("/node_modules/a.js"))).otherwise(F.concat(home, F.lit("/docs/f"), (F.col("event_id") % 11).cast("string"), F.lit(".txt")))
+    ops = F.array(F.array(F.lit("chmod")), F.array(F.lit("rename")), F.array(F.lit("remove"), F.lit("chmod")), F.array(F.lit("write"), F.lit("chmod")), F.array(F.lit("create")))
+    return t("events").select("event_id", path.alias("path"), F.element_at(ops, (F.col("event_id") % 5 + 1).cast("int")).alias("ops"))
+
+
+def _forms(t) -> DataFrame:
+    k, s = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    lists = F.element_at(F.array(F.lit(""), F.lit('["a"]'), F.lit('["a", "b"]')), (k % 3 + 1).cast("int"))
+    return t("nation").select(
+        k.alias("k"), text.email(F.concat(F.lit(" "), "n_name", F.lit("@X.org "))).alias("email"), text.is_digest(F.when(k % 2 == 0, "ab" * 32).otherwise("AB" * 32)).alias("digest"),
+        text.join_code(F.concat(F.lit("ab-1 "), s)).alias("code"), text.to_millis(text.from_millis(k.cast("long") * 1000)).alias("millis"), F.size(text.digests_of(lists)).alias("digests"),
+        paths.root_slug(F.concat(F.lit("/home/My Docs "), s, F.lit("/"))).alias("slug"), paths.overlap(F.lit("/a/B/"), F.when(k % 2 == 0, "/A/b/c").otherwise("/a/bc")).alias("overlaps"),
+        paths.archive_name(F.concat(F.lit("a:b"), s), F.lit("2024-03-05 06:07:08").cast("timestamp")).alias("archive"), text.thousands((k + 1) * 1000).alias("counted"), paths.relative(F.concat(F.lit("d/f"), s), "d").alias("below"))
+
+
+# --- sequences and content ---------------------------------------------------------------------------------
+# The oracles of the folds walk every key's rows by number in recursive SQL.
+
+_NTH = "WITH RECURSIVE numbered AS (SELECT *, EPOCH_US(ts) AS us, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM {events}), run AS ("
+_NEXT = " FROM run r JOIN numbered x ON x.user_id = r.user_id AND x.n = r.n + 1)"
+_DAY = 86_400_000_000
+_open = f"r.a3 IS NULL OR r.a3 <= x.us - {3 * _DAY}"
+query("attempt_limiter", _NTH + f"""SELECT event_id, user_id, n, TRUE AS allowed, us AS a1, CAST(NULL AS BIGINT) AS a2, CAST(NULL AS BIGINT) AS a3 FROM numbered WHERE n = 1
+UNION ALL SELECT x.event_id, x.user_id, x.n, {_open}, CASE WHEN {_open} THEN x.us ELSE r.a1 END, CASE WHEN {_open} THEN r.a1 ELSE r.a2 END, CASE WHEN {_open} THEN r.a2 ELSE r.a3 END""" + _NEXT + " SELECT event_id AS attempt_id, allowed FROM run")(
+    lambda t: folds.attempt_limiter(t("events").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("key"), F.col("ts").alias("at")), limit=3, minutes=3 * 1440).select("attempt_id", "allowed"))
+query("token_bucket", """WITH RECURSIVE numbered AS (SELECT event_id, user_id, event_id * 4000 AS us, event_id % 700 AS size, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}),
+run AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS BIGINT) AS sent, CAST(1000 AS DOUBLE) AS tokens, CAST(NULL AS BIGINT) AS last FROM numbered WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, CASE WHEN size <= 0 THEN start ELSE sent END, CASE WHEN size <= 0 THEN before ELSE LEAST(1000.0::DOUBLE, tokens + CAST(sent - start AS DOUBLE) / 1e6::DOUBLE * 1000.0::DOUBLE) - size END, CASE WHEN size <= 0 THEN last ELSE sent END
+FROM (SELECT *, start + CAST(CEIL(GREATEST(0.0::DOUBLE, (size - tokens) / 1000.0::DOUBLE) * 1e6::DOUBLE) AS BIGINT) AS sent
+FROM (SELECT *, CASE WHEN last IS NULL THEN before ELSE LEAST(1000.0::DOUBLE, before + CAST(start - last AS DOUBLE) / 1e6::DOUBLE * 1000.0::DOUBLE) END AS tokens
+FROM (SELECT x.user_id, x.n, x.event_id, x.size, GREATEST(x.us, COALESCE(r.last, 0)) AS start, r.last, r.tokens AS before FROM run r JOIN numbered x ON x.user_id = r.user_id AND x.n = r.n + 1) a) b) c)
+SELECT event_id AS transfer_id, sent AS sent_at_us FROM run WHERE n > 0""")(
+    lambda t: folds.token_bucket(t("events").select(F.col("event_id").alias("transfer_id"), F.col("user_id").alias("key"), F.timestamp_micros(F.col("event_id") * 4000).alias("at"), (F.col("event_id") % 700).alias("bytes")), 1000.0).select("transfer_id", "sent_at_us"))
+query("quota_gate", _NTH + """SELECT event_id, user_id, n, TRUE AS accepted, CAST(0 AS BIGINT) AS used_before, CAST(TRUNC(value) AS BIGINT) AS used FROM numbered WHERE n = 1
+UNION ALL SELECT x.event_id, x.user_id, x.n, r.used < 200, r.used, r.used + CASE WHEN r.used < 200 THEN CAST(TRUNC(x.value) AS BIGINT) ELSE 0 END""" + _NEXT + " SELECT event_id AS upload_id, accepted, used_before FROM run")(
+    lambda t: folds.quota_gate(t("events").select(F.col("event_id").alias("upload_id"), F.col("user_id").alias("account_id"), F.col("ts").alias("at"), F.col("value").cast("long").alias("bytes"), F.lit(200).cast("long").alias("quota_bytes")), size="bytes").select("upload_id", "accepted", "used_before"))
+query("change_batches", _NTH + f"""SELECT event_id, user_id, n, us + {_DAY} AS until, CAST(1 AS BIGINT) AS batch FROM numbered WHERE n = 1
+UNION ALL SELECT x.event_id, x.user_id, x.n, CASE WHEN x.us >= r.until THEN x.us + {_DAY} ELSE r.until END, r.batch + CASE WHEN x.us >= r.until THEN 1 ELSE 0 END""" + _NEXT + " SELECT event_id AS change_id, batch FROM run")(
+    lambda t: folds.change_batches(t("events").select(F.col("event_id").alias("change_id"), F.col("user_id").alias("root"), F.col("ts").alias("at")), seconds=86_400).select("change_id", "batch"))
 query("change_sessions", "SELECT root, COUNT(*) AS sessions, CAST(SUM(n) AS BIGINT) AS changes FROM (SELECT root, session, COUNT(*) AS n FROM (SELECT user_id % 4 AS root, SUM(CASE WHEN ts - prev < INTERVAL 300 SECOND THEN 0 ELSE 1 END) OVER (PARTITION BY user_id % 4 ORDER BY ts) AS session FROM (SELECT *, LAG(ts) OVER (PARTITION BY user_id % 4 ORDER BY ts) AS prev FROM {events}) e) s GROUP BY root, session) x GROUP BY root")(
     lambda t: folds.change_sessions(_changes(t), seconds=300).groupBy("root").agg(F.count(F.lit(1)).alias("sessions"), F.sum("changes").alias("changes")))
 query("chunk_cdc", "SELECT doc_id, CAST(OCTET_LENGTH(ENCODE(text)) AS BIGINT) AS bytes FROM {documents} WHERE OCTET_LENGTH(ENCODE(text)) > 0")(
     lambda t: content.chunk(t("documents"), id_col="doc_id", content_col="text", sizes=content.Sizes(512, 2048, 8192)).groupBy("doc_id").agg(F.sum("length").alias("bytes")))
-query("chunk_verify", "SELECT doc_id AS path, 'ok' AS verdict FROM {documents}")(lambda t: _verified(t))
+query("chunk_verify", "SELECT doc_id AS path, CASE WHEN COALESCE(LENGTH(text), 0) = 0 THEN 'ok' ELSE CASE doc_id % 5 WHEN 1 THEN 'missing_chunk' WHEN 2 THEN 'corrupt_chunk' WHEN 3 THEN 'size_mismatch' WHEN 4 THEN 'digest_mismatch' ELSE 'ok' END END AS verdict FROM {documents}")(lambda t: _verified(t))
 
 
 def _changes(t) -> DataFrame:
@@ -265,4 +326,10 @@ def _verified(t) -> DataFrame:
     docs = t("documents").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
     cut = content.chunk(docs, sizes=content.Sizes(512, 2048, 8192))
     parts = docs.join(cut, "path").select("digest", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("content")).dropDuplicates(["digest"])
-    return content.verify(content.file_digests(docs, cut), parts)
+    # faults: a lost block, one whose bytes changed, a wrong size, a wrong digest
+    bad = parts.sparkSession.range(1).select(F.lit("1" * 64).alias("digest"), F.lit("xx").cast("binary").alias("content"))
+    fault = lambda k: (F.col("path") % 5 == k) & (F.col("size") > 0)
+    files = content.file_digests(docs, cut).withColumns({
+        "chunks": F.when(fault(1), F.concat("chunks", F.array(F.lit("0" * 64)))).when(fault(2), F.concat("chunks", F.array(F.lit("1" * 64)))).otherwise(F.col("chunks")),
+        "digest": F.when(fault(4), F.lit("f" * 64)).otherwise(F.col("digest")), "size": F.col("size") + F.when(fault(3), 1).otherwise(0)})
+    return content.verify(files, parts.unionByName(bad))

@@ -247,6 +247,33 @@ def test_folds(spark):
     assert rows(folds.change_sessions(changes), "root", "changes") == [("r", 6)]
 
 
+def test_folds_keep_nulls_and_longs(spark):
+    big = (1 << 53) + 1
+    ups = spark.createDataFrame([(big, None, T0, None, None), (big + 1, None, T0, 5, 3), (big + 2, "a", None, 7, 5), (big + 3, "a", T0, 1, 5)], "upload_id long, account_id string, at timestamp, bytes long, quota_bytes long")
+    assert rows(folds.quota_gate(ups), "upload_id", "bytes", "accepted", "used_before") == [(big, None, True, 0), (big + 1, 5, True, 0), (big + 2, 7, True, 0), (big + 3, 1, False, 7)]
+    changes = ups.select(F.col("upload_id").alias("change_id"), F.col("account_id").alias("root"), "at")
+    assert rows(folds.change_batches(changes), "change_id", "batch") == [(big, 1), (big + 1, 1), (big + 2, None), (big + 3, 1)]
+    assert folds.change_batches(changes.where("false")).collect() == []
+
+
+def test_devices_by_their_owner(spark):
+    table = spark.createDataFrame([(1, 7, "a", False, "idle"), (2, 8, "b", False, "error")], "device_id int, account_id int, name string, revoked boolean, state string")
+    ask = spark.createDataFrame([(1, 7, "né" + "x" * 200), (2, 7, "stolen"), (9, 7, "nobody")], "device_id int, account_id int, name string")
+    assert rows(devices.rename_devices(table, ask), "device_id", "name") == [(1, "né" + "x" * 125), (2, "b")]
+    assert rows(devices.revoke_devices(table, ask), "device_id", "revoked", "state") == [(1, True, "revoked"), (2, False, "error")]
+    assert [rows(x, "device_id") for x in devices.delete_devices(table, ask, table)] == [[(2,)], [(2,)]]
+    new = table.where("device_id = 1").drop("state").unionByName(table.where("device_id = 2").drop("state").withColumn("device_id", F.lit(3)))
+    assert rows(devices.create_devices(table, new), "device_id", "state") == [(1, "idle"), (2, "error"), (3, "idle")]
+
+
+def test_event_filter_of_mixed_roots(spark):
+    roots = spark.createDataFrame([("/r", "R"), ("/r/in", "I")], "root string, name string")
+    events = spark.createDataFrame([(1, "/r/a", ["chmod"]), (2, "/r/a", ["rename"]), (3, "/r/b", ["rename"]), (4, "/r/in/a", ["write"]), (5, "/x/a", ["write"]), (6, None, ["write"]), (7, "/r/a", None), (8, "/r/in", ["create"]), (9, "/r/node_modules/q", ["create"])], "event_id int, path string, ops array<string>")
+    here = spark.createDataFrame([("/r/a", False), ("/r/in", True), ("/r/in/a", True)], "path string, is_dir boolean")
+    got = diff.event_filter(events, roots, here)
+    assert rows(got, "event_id", "root", "removed", "is_dir") == [(2, "/r", False, False), (3, "/r", True, False), (4, "/r/in", False, True), (8, "/r/in", False, True)]
+
+
 def test_texts_and_paths(spark):
     one = spark.range(1)
     got = one.select(text.human_bytes(F.lit(1536)), text.human_bytes(F.lit(20 << 20)), text.roughly(F.lit(7200)), text.roughly(F.lit(90)), text.relative(F.lit(None).cast("double")), text.relative(F.lit(3 * 86400)), text.until(F.lit(7200)), text.parse_bytes(F.lit(" 4MiB")), text.parse_bytes(F.lit("2 GB")), text.parse_bytes(F.lit("x")), text.progress(F.lit(3), F.lit(2)), paths.restored_name(F.lit("a.tar.gz"), F.lit(2)), paths.child_of(F.lit("a/b/c"), "a"), paths.relative(F.lit("a/b"), "a/b"), paths.safe_name(F.lit(" a/b:c ")), devices.cut_bytes(F.lit("aéz"), 2), paths.under_root(F.lit("/h/d/x"), F.lit("/h/d"), F.lit("Docs")), paths.root_slug(F.lit("/home/My Docs/"))).first()
