@@ -39,9 +39,11 @@ def fail_stale(snapshots: DataFrame, now: datetime, hours: int = schema.STALE_RU
     return snapshots.withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
 
 
-def prune_events(events: DataFrame, now: datetime, days: int = schema.EVENT_RETENTION_DAYS, most: int = schema.EVENT_MOST_ROWS, per_account: bool = False) -> DataFrame:
-    """Events that stay: young enough, then the newest `most` by id, over all accounts or of each."""
+def prune_events(events: DataFrame, now: datetime, days: int = schema.EVENT_RETENTION_DAYS, most: int | None = schema.EVENT_MOST_ROWS, per_account: bool = False) -> DataFrame:
+    """Events that stay: young enough, then the newest `most` by id (None: all), over all accounts or of each."""
     young = events.where(F.col("at") >= F.lit(now - timedelta(days=days)))
+    if most is None:
+        return young
     if not per_account:
         return young.orderBy(F.desc("event_id")).limit(most)
     n = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("event_id")))
@@ -53,13 +55,13 @@ def expired_tokens(tokens: DataFrame, now: datetime) -> DataFrame:
 
 
 def maintenance(snapshots, accounts, refs, chunks, events, tokens, now: datetime) -> DataFrame:
-    """(step, n) of one pass, in order: stale runs, retention, garbage (seeing what retention left), events, tokens."""
+    """(step, n) of one pass, in order: stale runs, retention, garbage (seeing what retention left), events (by age alone), tokens."""
     failed = fail_stale(snapshots, now)
     gone = expired(failed, accounts, now)
     left = store.delete_cascade(gone, refs)[0]
     steps = {
         "1 stale_failed": stale_running(snapshots, now), "2 snapshots_expired": gone, "3 chunks_deleted": store.garbage(chunks, left),
-        "4 events_kept": prune_events(events, now), "5 tokens_expired": expired_tokens(tokens, now),
+        "4 events_kept": prune_events(events, now, most=None), "5 tokens_expired": expired_tokens(tokens, now),
     }
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n") for name, df in steps.items()]
     out = counts[0]

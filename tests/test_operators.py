@@ -103,6 +103,16 @@ def test_versions_collapse_and_gaps(spark):
     assert rows(tree.file_versions(held, snaps), "path", "version", "snapshot_id") == [("p", 1, "5"), ("p", 2, "4"), ("p", 3, "2"), ("q", 1, "2"), ("q", 2, "1"), ("r", 1, "3")]
 
 
+def test_maintenance_keeps_every_young_event(spark):
+    snaps = forest(spark, {"S0": None}).selectExpr("*", "false AS pinned")
+    accounts = spark.createDataFrame([("a", 0)], "account_id string, retention_days int")
+    refs, chunks = spark.createDataFrame([("S0", 1)], "snapshot_id string, digest int"), spark.createDataFrame([(1,), (2,)], "digest int")
+    events = spark.range(250_000).select(F.col("id").alias("event_id"), F.lit(T0).alias("at"))
+    events = events.union(spark.range(5).select(F.col("id"), F.lit(T0 - timedelta(days=31))))
+    codes = spark.createDataFrame([("c", T0 - timedelta(days=1))], "code string, expires_at timestamp")
+    assert dict(rows(retention.maintenance(snaps, accounts, refs, chunks, events, codes, T0))) == {"1 stale_failed": 0, "2 snapshots_expired": 0, "3 chunks_deleted": 1, "4 events_kept": 250_000, "5 tokens_expired": 1}
+
+
 def test_retention_keeps_floor_and_ancestors(spark):
     snaps = forest(spark, {"f": None, "d1": "f", "d2": "d1", "g": None}).withColumn("pinned", F.lit(False))
     accounts = spark.createDataFrame([("a", 30)], "account_id string, retention_days int")
