@@ -77,7 +77,7 @@ class Signer:
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
         at = (mix(samples * self.slot + self.slot) % np.uint64(SKETCH_BITS)).astype(np.int64)
-        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+        return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.uint64)
 
 
 def _signatures(docs: DataFrame, percent: int, shingle: int, text_col: str) -> DataFrame:
@@ -94,7 +94,7 @@ def _signatures(docs: DataFrame, percent: int, shingle: int, text_col: str) -> D
                     low = signer.samples(s)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     bands.append(signer.bands(low)[0])
-                    sketches.append(signer.sketch(low))
+                    sketches.append(signer.sketch(low).view(np.int64))
                 else:
                     digests.append(b"empty:" + str(i).encode())
                     bands.append(None)
