@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 #: Rows of a block and bytes of contents that are compared with another block in one task at a time.
 BLOCK, TILE_BYTES = 4096, 16 << 20
+#: Bytes of small tiles that are looked at together.
+RUN_BYTES = 4 << 20
 #: Pairs of a tile that are looked at together.
 PAIRS = 1 << 17
 
@@ -65,7 +69,7 @@ def deal(rows: DataFrame, weight: Column, bound: int, large: Column | None = Non
     return rows.withColumn("_place", F.explode(places)).select(F.col("_place.tile").alias("tile"), "id", "label", F.col("_place.side").alias("side"), "sketch", "size", *lead)
 
 
-def runs(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = TILE_BYTES) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = RUN_BYTES) -> Iterator[pa.Table]:
     """Whole runs of equal tiles of sorted batches, of about so many rows or bytes, or one tile."""
     held: list[pa.RecordBatch] = []
 
@@ -91,6 +95,8 @@ def runs(batches: Iterator[pa.RecordBatch], rows: int = 8192, size: int = TILE_B
         last = tile[-1]
     if held:
         yield pa.Table.from_batches(held)
+    held = batch = None
+    release_memory()
 
 
 def _numpy(t: pa.Table) -> tuple[np.ndarray, ...]:
