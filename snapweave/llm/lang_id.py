@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, release_memory, slices
 from .sampling import held_out, sigmoid, thinned
 
 BUCKETS, GRAMS, CHUNK = 1 << 12, (2, 3, 4), 1 << 20
@@ -133,7 +133,12 @@ def learn(docs: DataFrame, *, per_lang: int = PER_LANG) -> Model | None:
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    return train(np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float), np.array([r["lang"] for r in rows]))
+    x, langs = np.stack([np.frombuffer(r["x"], "<f4") for r in rows]).astype(float), np.array([r["lang"] for r in rows])
+    rows.clear()
+    model = train(x, langs)
+    del x
+    release_memory()  # the driver's Python lives as long as the session
+    return model
 
 
 def _decoded(docs: DataFrame, keep: list[str], model: Model | None, min_margin: float) -> DataFrame:

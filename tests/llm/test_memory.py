@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from snapweave.llm import common, tiles
+from snapweave.llm import common, lang_id, tiles
 
 
 def test_hashing_takes_little_beside_the_sets():
@@ -28,3 +28,10 @@ def test_runs_are_whole_tiles_of_few_bytes():
     assert np.concatenate([r.column("tile").to_numpy() for r in got]).tolist() == tile.tolist()
     assert all(r.column("tile").to_numpy().tolist().count(t) == 2 for r in got for t in set(r.column("tile").to_numpy().tolist()))
     assert max(r.num_rows for r in got) <= 8
+
+
+def test_training_gives_the_drivers_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(lang_id, "release_memory", lambda: given.append(1))
+    docs = [(i, lang, text) for i in range(20) for lang, text in (("en", f"the house and the river {i}"), ("de", f"das haus und der fluss {i}"))]
+    assert lang_id.learn(spark.createDataFrame(docs, "doc_id long, lang string, text string")) is not None and given == [1]
